@@ -81,8 +81,17 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word's bytes (A-Z lower-cased first unless told otherwise)."""
+    return _hashes(raw, starts, ends, _BYTE_LOWER_OR_ZERO if lower else _BYTE_OR_ZERO, lower)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; the spans lie side by side."""
+    return _hashes(raw, starts, ends, _BYTE, False)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, lower: bool) -> np.ndarray:
+    """``table`` must be 0 for the bytes between the end of one span and the start of the next."""
     out = np.empty(len(starts), _U)
-    table = _BYTE_LOWER_OR_ZERO if lower else _BYTE_OR_ZERO
     lengths = ends - starts
     long_words = np.flatnonzero(lengths > _LONG_WORD)
     i = 0
