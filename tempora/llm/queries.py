@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from tempora.llm import topk
+from tempora.llm.langid import op1_language_id
 from tempora.llm.neardup import op10_minhash_near_dedup
+from tempora.llm.packing import op9_packing
+from tempora.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, topk.op5_exact_top_k, op8_toxicity, op9_packing, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op5_exact_top_k": topk.OP5_SQL}
