@@ -1,24 +1,61 @@
-"""A training-data pipeline over ``documents`` made of the operators in ``tempora.llm``."""
+"""A training-data pipeline over ``documents`` made of the operators in ``tempora.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import langid, mixing, neardup, packing, quality
+from tempora.llm.frames import saved
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is over their language's limit go; trusted are those labelled of quality 1."""
+    return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
-from tempora.llm.neardup import keep_one
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go: no letter, or too close between two languages."""
+    return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    return keep_one(docs, "doc_id", "text", shingle=5, num=4, den=5)
+    return neardup.keep_one(docs, "doc_id", "text", shingle=5, num=4, den=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: documents in training order, as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences of 1024 ids; one row per piece, without the ids themselves but their checksum."""
+    import public_tokenizers
+
+    d = packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return d.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("near dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language id", language_id),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("pack", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs, name.replace(" ", "-"))
     return docs
