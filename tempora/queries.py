@@ -362,7 +362,7 @@ def redacted_sources(g: Graph) -> DataFrame:
     return pk.redacted(s, rule(3, "uri").union(rule(5, "hash")).union(rule(7, "delete"))).select("id", "uri", "content_hash")
 
 
-@query("SELECT subject || '|' || obj_text AS fact, side FROM (SELECT subject, obj_text, CASE WHEN a AND NOT b THEN 'left' WHEN b AND NOT a THEN 'right' END AS side FROM (SELECT subject, obj_text, bool_or(context IS NULL) AS a, bool_or(context = 'tenant:1') AS b FROM (SELECT subject, obj_text, context FROM state) GROUP BY ALL)) WHERE side IS NOT NULL", STATE)
+@query("SELECT subject || '|' || obj_text AS fact, side FROM (SELECT subject, obj_text, CASE WHEN a AND NOT b THEN 'left' WHEN b AND NOT a THEN 'right' END AS side FROM (SELECT subject, obj_text, bool_or(context IS NULL) AS a, bool_or(context IS NOT DISTINCT FROM 'tenant:1') AS b FROM (SELECT subject, obj_text, context FROM state) GROUP BY ALL)) WHERE side IS NOT NULL", STATE)
 def knowledge_delta(g: Graph) -> DataFrame:
     s = g.state()
     d = pk.knowledge_delta(s.filter("context is null"), s.filter("context = 'tenant:1'"), ["subject", "obj_text"])
