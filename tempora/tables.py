@@ -17,9 +17,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder and this application's id."""
+    return f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+    """Write as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
+
+    The write's shuffle files go when it ends, as nothing reads them again, so
+    steps of a job don't add up on the executors' disks.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table this application saved; results that still read them become unreadable."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}")
+    path.getFileSystem(conf).delete(path, True)
