@@ -1,43 +1,13 @@
-"""Small helpers that the operators share: names, the shared folder, saved tables."""
+"""Small helpers that the operators share: names, keys and saved tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.tables import clear, new_path, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tempora-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder and this application's id."""
-    return f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet into the shared folder and read again.
-
-    Cuts the lineage and survives the loss of executors; rows are as they were.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every table this application saved; results that still read them become unreadable."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+__all__ = ["clear", "free_name", "new_path", "row_key", "saved", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

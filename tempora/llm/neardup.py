@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.components import components
 from tempora.llm.frames import row_key, saved
+from tempora.operators.graph import components
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 ROWS = REGISTERS // BANDS
