@@ -27,7 +27,7 @@ def line_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def candidates(chunks: DataFrame) -> DataFrame:
     """``candidate: s | p | o | valid=a..b | confidence=c | evidence=q`` lines as columns; malformed ones have an error and nulls."""
     body = F.trim(F.regexp_replace("content", r"^candidate:", ""))
-    parts = F.transform(F.split(body, r"\|"), F.trim)
+    parts = F.transform(F.split(body, r"\|"), lambda x: F.trim(x))
     t = chunks.filter(F.col("content").startswith("candidate:")).withColumn("p", parts).withColumn("ok", F.size("p") == 6)
     at = lambda i: F.when(F.col("ok"), F.get("p", F.lit(i)))
     valid = F.regexp_extract(at(3), r"^valid=(-?\d*)\.\.(-?\d*)$", 1), F.regexp_extract(at(3), r"^valid=(-?\d*)\.\.(-?\d*)$", 2)
@@ -38,7 +38,7 @@ def candidates(chunks: DataFrame) -> DataFrame:
 def directives(chunks: DataFrame) -> DataFrame:
     """``entity:``, ``assertion:``, ``event:`` and ``causal:`` lines: their kind, and a map of their key=value fields."""
     kind = F.regexp_extract("content", r"^(entity|assertion|event|causal):", 1)
-    fields = F.transform(F.split(F.regexp_replace("content", r"^\w+:", ""), r"\|"), F.trim)
+    fields = F.transform(F.split(F.regexp_replace("content", r"^\w+:", ""), r"\|"), lambda x: F.trim(x))
     pairs = F.filter(fields, lambda x: x.contains("="))
     entries = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"^[^=]*=", "").alias("v")))
     # of a repeated key the first holds
@@ -48,7 +48,7 @@ def directives(chunks: DataFrame) -> DataFrame:
 
 def csv_rows(chunks: DataFrame) -> DataFrame:
     """Lines of at least four unquoted fields, none of the first four empty, after the header: subject, predicate, object, evidence."""
-    p = F.transform(F.split("content", ","), F.trim)
+    p = F.transform(F.split("content", ","), lambda x: F.trim(x))
     t = chunks.withColumn("p", p).filter((F.col("line") > 0) & (F.size("p") >= 4))
     cols = [F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("subject", "predicate", "object", "evidence"))]
     return t.select("id", *cols, F.lit(0.6).alias("confidence")).filter("subject != '' and predicate != '' and object != '' and evidence != ''")
@@ -93,7 +93,7 @@ def commands(reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_eval_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A pipe-delimited evaluation file as frames of its records: cases, evidence, paths, contradictions."""
     lines = spark.read.text(path).filter("trim(value) != '' and not startswith(value, '#')")
-    t = lines.select(F.trim(F.substring_index("value", ":", 1)).alias("kind"), F.transform(F.split(F.regexp_replace("value", r"^[^:]*:", ""), r"\|"), F.trim).alias("p"))
+    t = lines.select(F.trim(F.substring_index("value", ":", 1)).alias("kind"), F.transform(F.split(F.regexp_replace("value", r"^[^:]*:", ""), r"\|"), lambda x: F.trim(x)).alias("p"))
     names = {
         "case": ["id", "question", "answer", "valid_at", "known_at", "tags", "gold_evidence_ids", "required_path_ids", "gold_contradiction_ids"], "evidence": ["id", "subject", "predicate", "object", "valid_from", "valid_to", "known_from", "text"],
         "path": ["id", "evidence_ids"], "contradiction": ["id", "assertion_a", "assertion_b", "contradiction_type"],
@@ -105,7 +105,7 @@ def read_eval_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         if n in number:
             return F.when(c.rlike(r"^-?\d+$"), c.cast("long")).alias(n)
         if n in many:
-            return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "").alias(n)
+            return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias(n)
         return c.alias(n)
 
     return {kind: t.filter(F.col("kind") == kind).select(*[column(i, n) for i, n in enumerate(cols)]) for kind, cols in names.items()}
