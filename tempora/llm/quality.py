@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm import columns as C
-from tempora.llm.frames import free_name, saved
+from tempora.llm.frames import free_name, row_key, saved
 
 ORDER = 4  # bytes of an n-gram, at most 7
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 48 << 20
 SALTS = 16  # blocks over which the rows of one repeated id spread
 QUANTILE = 0.995  # of trusted documents' bits a byte, by language
 SLACK = 0.25  # bits a byte that a document may lie above the quantile
@@ -36,29 +36,41 @@ PIECE_BYTES = 4 << 20
 _START, _END = 2, 3
 
 
-def _ngrams(column: pa.Array, order: int):
-    """(codes of all n-grams, offsets of each text's) for pieces of a column.
+def _ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all n-grams of some texts, and the offsets of each text's.
 
     A text stands behind order - 1 start bytes and before an end byte, so it has
     one n-gram more than bytes.
     """
-    for a, b in C.pieces(column, PIECE_BYTES):
-        raw, offsets = C.text_bytes(column.slice(a, b - a))
-        size = np.diff(offsets) + order
-        ends = np.cumsum(size)
-        padded = np.full(int(ends[-1]), _START, np.uint8)
-        for s, e, x, y in zip((ends - size).tolist(), ends.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            padded[s + order - 1 : e - 1] = raw[x:y]
-            padded[e - 1] = _END
-        codes = np.zeros(len(padded) - order + 1, np.int64)
-        for i in range(order):
-            codes <<= 8
-            codes |= padded[i : len(codes) + i]
-        keep = np.ones(len(codes), bool)
-        for i in range(1, order):  # windows that would cross into the next text
-            at = ends[:-1] - i
-            keep[at] = False
-        yield a, b, codes[keep], np.append(0, np.cumsum(size - order + 1))
+    size = np.array([len(t) for t in texts]) + order
+    ends = np.cumsum(size)
+    start, end = bytes([_START]) * (order - 1), bytes([_END])
+    padded = np.frombuffer(b"".join([part for t in texts for part in (start, t, end)]), np.uint8)
+    codes = np.zeros(len(padded) - order + 1, np.int64)
+    for i in range(order):
+        codes <<= 8
+        codes |= padded[i : len(codes) + i]
+    keep = np.ones(len(codes), bool)
+    for i in range(1, order):  # windows that would cross into the next text
+        keep[ends[:-1] - i] = False
+    return codes[keep], np.append(0, np.cumsum(size - order + 1))
+
+
+def _blocks(docs: pa.Table, order: int):
+    """(first row, end row, codes, offsets) of a block's texts, some at a time."""
+    unpack, a, held, size = zstandard.ZstdDecompressor(), 0, [], 0
+    column = docs.column("__z")
+    for i in range(docs.num_rows):
+        held.append(unpack.decompress(column[i].as_py()))
+        size += len(held[-1])
+        if size >= PIECE_BYTES or i == docs.num_rows - 1:
+            yield a, i + 1, *_ngrams(held, order)
+            a, held, size = i + 1, [], 0
+
+
+def _is_good(docs: pa.Table, tid: np.ndarray) -> np.ndarray:
+    hid = docs.column("__hid")
+    return np.isin(hid.fill_null(0).to_numpy(), tid) & hid.is_valid().to_numpy()
 
 
 def _asked(order: int):
@@ -67,19 +79,14 @@ def _asked(order: int):
     def run(docs: pa.Table, trusted: pa.Table) -> pa.Table:
         if docs.num_rows == 0:
             return pa.table({"block": pa.array([], pa.int32()), "g": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        text, block = docs.column("__text").combine_chunks(), docs.column("__block")[0].as_py()
-        good = np.isin(docs.column("__hid").fill_null(0).to_numpy(), trusted.column("tid").to_numpy()) & docs.column("__hid").is_valid().to_numpy()
+        good, block = _is_good(docs, trusted.column("tid").to_numpy()), docs.column("__block")[0].as_py()
         all_codes, all_counts = [], []
-        for a, b, codes, at in _ngrams(text, order):
-            u, inverse_counts = np.unique(codes, return_counts=True)
-            if good[a:b].all():
-                counts = inverse_counts
-            elif good[a:b].any():
+        for a, b, codes, at in _blocks(docs, order):
+            u, counts = np.unique(codes, return_counts=True)
+            if not good[a:b].all():
                 own, n = np.unique(codes[np.repeat(good[a:b], np.diff(at))], return_counts=True)
                 counts = np.zeros(len(u), np.int64)
                 counts[np.searchsorted(u, own)] = n
-            else:
-                counts = np.zeros(len(u), np.int64)
             all_codes.append(u)
             all_counts.append(counts)
         g, inverse = np.unique(np.concatenate(all_codes), return_inverse=True)
@@ -90,26 +97,37 @@ def _asked(order: int):
 
 
 def _scored(order: int, names: list[str]):
-    """Of a block: its documents with the sum of log2 probabilities, the number of n-grams and whether they are trusted."""
+    """Of a block: its rows with the sum of -log2 probabilities, the number of n-grams and whether they are trusted."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        columns = [docs.column(n) for n in names]
         n, bits, good = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows), np.zeros(docs.num_rows, bool)
         if docs.num_rows:
-            tid = table.column("tid").drop_null().to_numpy()
+            good = _is_good(docs, table.column("tid").drop_null().to_numpy())
             grams = table.filter(table.column("g").is_valid())
             g, lp = grams.column("g").to_numpy(), grams.column("lp").to_numpy()
             o = np.argsort(g)
-            g, lp = g[o], lp[o]
-            good = np.isin(docs.column("__hid").fill_null(0).to_numpy(), tid) & docs.column("__hid").is_valid().to_numpy()
-            for a, b, codes, at in _ngrams(docs.column("__text").combine_chunks(), order):
+            g, lp = g[o], lp[o].astype(np.float64)
+            for a, b, codes, at in _blocks(docs, order):
                 bits[a:b] = -np.add.reduceat(lp[np.searchsorted(g, codes)], at[:-1])
                 n[a:b] = np.diff(at)
-        return pa.table([*columns, pa.array(bits), pa.array(n), pa.array(good)], names=[*names, "__bits", "__n", "__good"])
+        return pa.table([*[docs.column(x) for x in names], pa.array(bits), pa.array(n), pa.array(good)], names=[*names, "__bits", "__n", "__good"])
 
     return run
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the last column, the text, compressed: texts are moved twice, and so take less."""
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__z", T.BinaryType())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack.compress(t.as_py().encode()) for t in texts], pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def discounts(counts: list[int]) -> list[float]:
     """The three discounts out of the numbers of n-grams seen once, twice, three and four times.
 
@@ -150,8 +168,8 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
     return p
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, order: int = ORDER) -> DataFrame:
-    """``docs`` with __bits (total -log2 probability), __n (n-grams, one more than bytes) and __good (trusted).
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, carry: list[str], order: int = ORDER) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with __rk (key of id and text), __bits (total -log2 probability), __n (n-grams) and __good (trusted).
 
     ``trusted`` holds ids under ``id_col``. A null text counts as empty: it has
     the one n-gram of its end. A null id is never trusted. Repeated rows count each.
@@ -159,20 +177,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     text, hid = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.when(F.col(f"`{id_col}`").isNotNull(), F.xxhash64(F.col(f"`{id_col}`").cast("string")))
     total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-((total["b"] or 0) + 64 * total["n"]) // BLOCK_BYTES))
-    salt = F.pmod(F.xxhash64(text), F.lit(SALTS))
     block = lambda h, s: F.pmod(F.xxhash64(h, s), F.lit(blocks)).cast("int")
-    dealt = docs.withColumns({"__text": text, "__hid": hid})
-    own = F.when(F.col("__hid").isNull(), F.pmod(F.xxhash64("__text"), F.lit(blocks)).cast("int")).otherwise(block(F.col("__hid"), salt))
-    dealt = dealt.withColumn("__block", own).repartition(blocks, "__block")
+    own = F.when(hid.isNull(), F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")).otherwise(block(hid, F.pmod(F.xxhash64(text), F.lit(SALTS))))
+    names = [*carry, "__rk"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], row_key(id_col, text_col).alias("__rk"), hid.alias("__hid"), own.alias("__block"), text.alias("__text"))
+    dealt = _packed(rows).repartition(blocks, "__block")
     ids = trusted.filter(F.col(f"`{id_col}`").isNotNull()).select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("tid")).distinct()
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).select(block(F.col("tid"), F.col("salt")).alias("block"), "tid").distinct()
-    names = docs.columns
     asked = dealt.groupBy("__block").cogroup(ids.groupBy("block")).applyInArrow(_asked(order), "block int, g long, c long")
     asked = saved(asked, "ngrams")
-    p = probabilities(asked.groupBy("g").agg(F.sum("c").alias("c")), asked, order)
-    answers = asked.select("block", "g").join(p, "g").select("block", "g", F.log2("p").alias("lp"), F.lit(None).cast("long").alias("tid"))
-    answers = answers.union(ids.select("block", F.lit(None).cast("long"), F.lit(None).cast("double"), "tid"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__bits", T.DoubleType()), T.StructField("__n", T.LongType()), T.StructField("__good", T.BooleanType())])
+    counts = saved(asked.groupBy("g").agg(F.sum("c").alias("c")), "ngram-counts")
+    p = probabilities(counts, counts, order)
+    answers = asked.select("block", "g").join(p, "g").select("block", "g", F.log2("p").cast("float").alias("lp"), F.lit(None).cast("long").alias("tid"))
+    answers = answers.union(ids.select("block", F.lit(None).cast("long"), F.lit(None).cast("float"), "tid"))
+    schema = T.StructType([*rows.schema.fields[: len(names)], T.StructField("__bits", T.DoubleType()), T.StructField("__n", T.LongType()), T.StructField("__good", T.BooleanType())])
     return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, names), schema)
 
 
@@ -192,37 +210,39 @@ def thresholds(scored: DataFrame, lang: str, bits: str, good: str, quantile: flo
     return bins.groupBy("every", "lang").agg(limit.alias("limit"), F.max("n").alias("n")).filter((F.col("n") >= least) | F.col("every")).select("every", "lang", "limit")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """``docs`` with quality_bits (a byte), quality_limit and quality_accepted, under free names.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", carry: list[str] | None = None, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all but the text, if not given), then row_key, quality_bits, quality_limit, quality_accepted under free names.
 
     The quantile is taken of bits less the allowance for the text's length; a
-    document's limit is that, the slack and its own allowance.
-
-    Trusted are the documents that ``labels`` marks 1 (by id; repeated labels: any
-    1). The perplexity of a text is 2 to the power of its bits. Accepted is what
-    lies at or under its language's limit; without any trusted document all is
-    accepted and the limit is null. Null and empty texts are scored on their end
-    alone. Extra columns pass through, whatever their names.
+    document's limit is that, the slack and its own allowance. Trusted are the
+    documents that ``labels`` marks 1 (by id; repeated labels: any 1). The
+    perplexity of a text is 2 to the power of its bits. Accepted is what lies at
+    or under its language's limit; without any trusted document all is accepted
+    and the limit is null. Null and empty texts are scored on their end alone.
+    Extra columns may have any names.
     """
-    clash = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in clash.items()])
-    trusted = labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias(clash[id_col]))
-    scored = perplexities(inner, trusted, clash[id_col], clash[text_col], order)
+    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"), F.col(f"`{lang_col}`").cast("string").alias("__lang"))
+    trusted = labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__id"))
+    scored = perplexities(inner, trusted, "__id", "__t", [*[f"__c{i}" for i in range(len(carry))], "__lang"], order)
     scored = saved(scored.withColumns({"__bits": F.col("__bits") / F.col("__n"), "__short": SHORT / F.sqrt("__n")}), "quality")
-    adjusted = scored.select(F.col(clash[lang_col]).cast("string").alias("__lang"), (F.col("__bits") - F.col("__short")).alias("__bits"), "__good")
-    limits = thresholds(adjusted, "__lang", "__bits", "__good", quantile, slack)
+    adjusted = scored.select("__lang", (F.col("__bits") - F.col("__short")).alias("__bits"), "__good")
+    limits = saved(thresholds(adjusted, "__lang", "__bits", "__good", quantile, slack), "limits")
     every = limits.filter("every").select("limit").first()  # one number
     every = F.lit(every["limit"] if every else None).cast("double")
-    out = scored.join(limits.filter("not every").select(F.col("lang").alias("__lang"), F.col("limit").alias("__limit")), F.col(clash[lang_col]).cast("string") == F.col("__lang"), "left")
+    out = scored.join(limits.filter("not every").select(F.col("lang").alias("__l"), F.col("limit").alias("__limit")), F.col("__lang") == F.col("__l"), "left")
     limit = F.coalesce(F.col("__limit"), every) + F.col("__short")
-    new = [free_name(docs, c) for c in ("quality_bits", "quality_limit", "quality_accepted")]
-    return out.select(*[F.col(n).alias(c) for c, n in clash.items()], F.col("__bits").alias(new[0]), limit.alias(new[1]), F.coalesce(F.col("__bits") <= limit, F.lit(True)).alias(new[2]))
+    named = docs.select(*[f"`{c}`" for c in carry])
+    new = [free_name(named, c) for c in ("row_key", "quality_bits", "quality_limit", "quality_accepted")]
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__rk").alias(new[0]), F.col("__bits").alias(new[1]), limit.alias(new[2]), F.coalesce(F.col("__bits") <= limit, F.lit(True)).alias(new[3]))
 
 
-def keep_accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The accepted documents, with the columns of ``docs``."""
-    out = classify(docs, labels, **how)
-    return out.filter(F.col(f"`{out.columns[-1]}`")).select(*[f"`{c}`" for c in docs.columns])
+    out = classify(docs, labels, id_col, text_col, carry=[], **how)
+    gone = out.filter("not quality_accepted").select(F.col("row_key").alias("__rk")).distinct()
+    rows = docs.withColumn("__rk", row_key(id_col, text_col)).join(gone, "__rk", "left_anti")
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_quality_classifier(spark, sf_dir):
