@@ -104,3 +104,24 @@ def knowledge_delta(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def k_anonymous_counts(df: DataFrame, key: str, k: int) -> DataFrame:
     """(key, n) for values that at least k rows share; others are suppressed."""
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+
+
+def compress(units: DataFrame, budget: int, keys: list[str]) -> DataFrame:
+    """Units (keys, id, text, required, score, level) of a context that fit the budget, in the order they are taken.
+
+    Required ones come first, then by score, level and id. What doesn't fit is
+    skipped; a required one is cut to the tokens that remain.
+    """
+    t = units.withColumn("tokens", estimate_tokens(F.col("text")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("required"), F.desc("score"), F.desc("level"), "id")
+    rows = t.withColumn("r", F.row_number().over(w)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", F.col("tokens").cast("long").alias("n"), "id", "required"))).alias("u"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<struct<r:int,n:bigint,id:{units.schema['id'].dataType.simpleString()}>>").alias("taken"))
+
+    def step(acc, x):
+        n = F.when(x["n"] <= acc["left"], x["n"]).when(x["required"], acc["left"]).otherwise(F.lit(0).cast("long"))
+        return F.when(n > 0, F.struct((acc["left"] - n).alias("left"), F.concat(acc["taken"], F.array(F.struct(x["r"].alias("r"), n.alias("n"), x["id"].alias("id")))).alias("taken"))).otherwise(acc)
+
+    taken = rows.select(*keys, F.explode(F.aggregate("u", start, step)["taken"]).alias("x")).select(*keys, F.col("x.id").alias("id"), F.col("x.r").alias("position"), F.col("x.n").alias("kept"))
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    j = taken.join(t, [*keys, "id"])
+    return j.select(*keys, "id", "position", "kept", F.when(F.col("kept") < F.col("tokens"), F.array_join(F.slice(words, F.lit(1), F.col("kept").cast("int")), " ")).otherwise(F.col("text")).alias("text"))

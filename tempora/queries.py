@@ -224,10 +224,10 @@ def contradictions_with_evidence(g: Graph) -> DataFrame:
     return found.join(side("a"), "assertion_a").join(side("b"), "assertion_b").select("assertion_a", "assertion_b", "type", "source_a", "source_b", "trust_a", "trust_b")
 
 
-@query("SELECT l.id AS claim_a, r.id AS claim_b, CASE WHEN l.object = r.object THEN 'SourceTrustDisagreement' ELSE 'ValidTimeOverlapConflict' END AS type FROM supplied l JOIN supplied r ON l.subject = r.subject AND l.id < r.id AND l.object <> r.object AND (r.valid_to IS NULL OR l.valid_from < r.valid_to) AND (l.valid_to IS NULL OR r.valid_from < l.valid_to) WHERE l.tx_from % 7 = 0 AND r.tx_from % 7 = 0", SUPPLIED)
+@query("SELECT l.id AS claim_a, r.id AS claim_b, CASE WHEN l.object = r.object THEN 'SourceTrustDisagreement' ELSE 'ValidTimeOverlapConflict' END AS type FROM supplied l JOIN supplied r ON l.subject = r.subject AND l.id < r.id AND l.object <> r.object AND (r.valid_to IS NULL OR l.valid_from < r.valid_to) AND (l.valid_to IS NULL OR r.valid_from < l.valid_to)", SUPPLIED)
 def claim_conflicts(g: Graph) -> DataFrame:
-    """Suppliers of the same part at the same time, among the claims of every seventh order."""
-    claims = g.supplied().filter("tx_from % 7 = 0").withColumn("trust_pct", F.lit(50.0))
+    """Suppliers of the same part at the same time."""
+    claims = g.supplied().withColumn("trust_pct", F.lit(50.0))
     return cx.claim_conflicts(claims)
 
 
@@ -355,11 +355,11 @@ def governance_audit(g: Graph) -> DataFrame:
     return pk.audit(g.state(), "1", g.sources().filter("trust_pct < 50")).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, CASE WHEN observed_at % 3 = 0 THEN '[REDACTED]' ELSE uri END AS uri, CASE WHEN observed_at % 5 = 0 THEN '[REDACTED]' ELSE md5(text) END AS content_hash FROM sources WHERE observed_at % 7 <> 0", SOURCES)
+@query("SELECT id, CASE WHEN uri IN ('src3', 'src4') THEN '[REDACTED]' ELSE uri END AS uri, CASE WHEN uri IN ('src4', 'src5') THEN '[REDACTED]' ELSE md5(text) END AS content_hash FROM sources WHERE uri IS DISTINCT FROM 'src7'", SOURCES)
 def redacted_sources(g: Graph) -> DataFrame:
     s = g.sources()
-    rule = lambda n, mode: s.filter(F.col("observed_at") % n == 0).select("id", F.lit(mode).alias("mode"))
-    return pk.redacted(s, rule(3, "uri").union(rule(5, "hash")).union(rule(7, "delete"))).select("id", "uri", "content_hash")
+    rule = lambda mode, *uris: s.filter(F.col("uri").isin(*uris)).select("id", F.lit(mode).alias("mode"))
+    return pk.redacted(s, rule("uri", "src3", "src4").union(rule("hash", "src4", "src5")).union(rule("delete", "src7"))).select("id", "uri", "content_hash")
 
 
 @query("SELECT subject || '|' || obj_text AS fact, side FROM (SELECT subject, obj_text, CASE WHEN a AND NOT b THEN 'left' WHEN b AND NOT a THEN 'right' END AS side FROM (SELECT subject, obj_text, bool_or(context IS NULL) AS a, bool_or(context IS NOT DISTINCT FROM 'tenant:1') AS b FROM (SELECT subject, obj_text, context FROM state) GROUP BY ALL)) WHERE side IS NOT NULL", STATE)
@@ -391,30 +391,34 @@ def context_packing(g: Graph) -> DataFrame:
 
 HOPS = """
 SELECT 'customer-' || c_custkey AS start, 'region-' || n_regionkey AS "end", 'loc-customer-' || c_custkey || '>loc-nation-' || n_nationkey AS hops, 2 AS length
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 100 = 1"""
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def _customers(g: Graph) -> DataFrame:
+    return g.raw("customer").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"))
 
 
 @query(HOPS)
 def paths_customer_region(g: Graph) -> DataFrame:
-    starts = g.raw("customer").filter("c_custkey % 100 = 1").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"))
+    starts = _customers(g)
     p = gx.paths(gx.edges(g.located()), starts, 3).filter("startswith(`end`, 'region-')")
     return p.select("start", "end", F.array_join("hops", ">").alias("hops"), "length")
 
 
-@query("""SELECT 'customer-' || o_custkey AS start, 'order-' || o_orderkey AS "end", 'placed-' || o_orderkey AS hops, 1 AS length FROM orders WHERE o_custkey % 50 = 3
-UNION ALL SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey, 'loc-customer-' || c_custkey, 1 FROM customer WHERE c_custkey % 50 = 3
-UNION ALL SELECT 'customer-' || c_custkey, 'region-' || n_regionkey, 'loc-customer-' || c_custkey || '>loc-nation-' || n_nationkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 3""")
+@query("""SELECT 'customer-' || o_custkey AS start, 'order-' || o_orderkey AS "end", 'placed-' || o_orderkey AS hops, 1 AS length FROM orders
+UNION ALL SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey, 'loc-customer-' || c_custkey, 1 FROM customer
+UNION ALL SELECT 'customer-' || c_custkey, 'region-' || n_regionkey, 'loc-customer-' || c_custkey || '>loc-nation-' || n_nationkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def paths_via_set(g: Graph) -> DataFrame:
-    starts = g.raw("customer").filter("c_custkey % 50 = 3").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"))
+    starts = _customers(g)
     both = gx.edges(g.located()).unionByName(gx.edges(g.placed()))
     p = gx.paths(both, starts, 2, predicates=["LOCATED_IN", "PLACED"], positional=False)
     return p.select("start", "end", F.array_join("hops", ">").alias("hops"), "length")
 
 
-@query("""SELECT 'customer-' || c_custkey AS start, 'nation-' || c_nationkey AS "end", 'loc-customer-' || c_custkey AS hops, 1 AS length FROM customer WHERE c_custkey % 50 = 3
-UNION ALL SELECT 'customer-' || c_custkey, 'region-' || n_regionkey, 'loc-customer-' || c_custkey || '>loc-nation-' || n_nationkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 3""")
+@query("""SELECT 'customer-' || c_custkey AS start, 'nation-' || c_nationkey AS "end", 'loc-customer-' || c_custkey AS hops, 1 AS length FROM customer
+UNION ALL SELECT 'customer-' || c_custkey, 'region-' || n_regionkey, 'loc-customer-' || c_custkey || '>loc-nation-' || n_nationkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def paths_positional(g: Graph) -> DataFrame:
-    starts = g.raw("customer").filter("c_custkey % 50 = 3").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"))
+    starts = _customers(g)
     p = gx.paths(gx.edges(g.located()), starts, 5, predicates=["LOCATED_IN", "LOCATED_IN"])
     return p.select("start", "end", F.array_join("hops", ">").alias("hops"), "length")
 
@@ -449,24 +453,24 @@ def bfs_depths(g: Graph) -> DataFrame:
     return gx.bfs(_dependencies(g), root, 2)
 
 
-CAUSAL_DOWN = "w AS (SELECT l.cause AS start, l.effect AS \"end\", l.cause || '>' || l.effect AS path, 1 AS length, CAST(l.pct AS DOUBLE) / 100 AS c FROM links l WHERE l.cause IN (SELECT event_id FROM events WHERE event_id % 100 = 7) AND l.pct >= 0 UNION ALL SELECT w.start, l.effect, w.path || '>' || l.effect, w.length + 1, w.c * (CAST(l.pct AS DOUBLE) / 100) FROM w JOIN links l ON l.cause = w.\"end\" WHERE w.length < 4)"
+CAUSAL_DOWN = "w AS (SELECT l.cause AS start, l.effect AS \"end\", l.cause || '>' || l.effect AS path, 1 AS length, CAST(l.pct AS DOUBLE) / 100 AS c FROM links l UNION ALL SELECT w.start, l.effect, w.path || '>' || l.effect, w.length + 1, w.c * (CAST(l.pct AS DOUBLE) / 100) FROM w JOIN links l ON l.cause = w.\"end\" WHERE w.length < 4)"
 
 
 @query('SELECT start, "end", path, length, round(c, 6) AS confidence FROM w', LINKS, CAUSAL_DOWN, recursive=True)
 def effects_of(g: Graph) -> DataFrame:
-    start = g.raw("events").filter("event_id % 100 = 7").select(F.col("event_id").cast("long").alias("id"))
+    start = g.raw("events").select(F.col("event_id").cast("long").alias("id"))
     return gx.causal_paths(g.causal_links(), start, 4, rule="raw").withColumn("confidence", F.round("confidence", 6))
 
 
-@query('SELECT start, "end", path, length, least(c1, c2, c3) AS confidence FROM (SELECT a.cause AS start, c.effect AS "end", a.cause || \'>\' || b.cause || \'>\' || c.cause || \'>\' || c.effect AS path, 3 AS length, CAST(a.pct AS DOUBLE) / 100 AS c1, CAST(b.pct AS DOUBLE) / 100 AS c2, CAST(c.pct AS DOUBLE) / 100 AS c3 FROM links a JOIN links b ON b.cause = a.effect JOIN links c ON c.cause = b.effect WHERE c.effect % 100 = 50)', LINKS)
+@query('SELECT start, "end", path, length, least(c1, c2, c3) AS confidence FROM (SELECT a.cause AS start, c.effect AS "end", a.cause || \'>\' || b.cause || \'>\' || c.cause || \'>\' || c.effect AS path, 3 AS length, CAST(a.pct AS DOUBLE) / 100 AS c1, CAST(b.pct AS DOUBLE) / 100 AS c2, CAST(c.pct AS DOUBLE) / 100 AS c3 FROM links a JOIN links b ON b.cause = a.effect JOIN links c ON c.cause = b.effect)', LINKS)
 def causal_min_conf(g: Graph) -> DataFrame:
-    end = g.raw("events").filter("event_id % 100 = 50").select(F.col("event_id").cast("long").alias("id"))
+    end = g.raw("events").select(F.col("event_id").cast("long").alias("id"))
     return gx.causal_paths(g.causal_links(), end, 3, reverse=True, rule="min").filter("length = 3")
 
 
-@query('SELECT cause AS start, effect AS "end", cause || \'>\' || effect AS path, 1 AS length, CAST(pct AS DOUBLE) / 100 AS confidence FROM links WHERE effect % 50 = 9', LINKS)
+@query('SELECT cause AS start, effect AS "end", cause || \'>\' || effect AS path, 1 AS length, CAST(pct AS DOUBLE) / 100 AS confidence FROM links', LINKS)
 def causes_of(g: Graph) -> DataFrame:
-    end = g.raw("events").filter("event_id % 50 = 9").select(F.col("event_id").cast("long").alias("id"))
+    end = g.raw("events").select(F.col("event_id").cast("long").alias("id"))
     return gx.causal_paths(g.causal_links(), end, 1, reverse=True)
 
 
@@ -476,23 +480,28 @@ def counterfactual_remove_event(g: Graph) -> DataFrame:
     return engine.run('COUNTERFACTUAL REMOVE EVENT("500") MAX_DEPTH 3').select("node", "depth", "side")
 
 
-def _parts_of(g: Graph) -> DataFrame:
-    return g.supplied().filter("tx_from % 97 = 0").select(F.col("subject").alias("a"), F.col("obj_entity").alias("b"))
+REGIONS = """places AS (
+  SELECT 'customer-' || c_custkey AS node, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'supplier-' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'nation-' || n_nationkey, n_regionkey FROM nation
+  UNION ALL SELECT DISTINCT 'region-' || n_regionkey, n_regionkey FROM nation),
+members AS (SELECT node, min(node) OVER (PARTITION BY region) AS root FROM places)"""
 
 
-COMPONENT = "e AS (SELECT subject AS a, object AS b FROM supplied WHERE tx_from % 97 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM s), r AS (SELECT node, node AS root FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node)"
+def _regions(g: Graph) -> DataFrame:
+    return gx.components(g.located().select(F.col("subject").alias("a"), F.col("obj_entity").alias("b")))
 
 
-@query("SELECT node, min(root) AS root FROM r GROUP BY node", SUPPLIED, COMPONENT, recursive=True)
+@query("SELECT node, root FROM members", REGIONS)
 def communities(g: Graph) -> DataFrame:
-    return gx.components(_parts_of(g))
+    """Components of everything that lies in something: one for each region."""
+    return _regions(g)
 
 
-@query("""SELECT c.root, c.entities, count(a.id) AS assertions, max(a.valid_from) AS valid_start, min(a.valid_to) AS valid_end, max(a.tx_from) AS tx_start, count(DISTINCT a.source) AS sources
-FROM (SELECT root, count(*) AS entities FROM m GROUP BY root) c JOIN m ON m.root = c.root JOIN (SELECT *, tx_from % """ + NDOCS + """ AS source FROM supplied WHERE tx_from % 97 = 0) a ON a.subject = m.node GROUP BY c.root, c.entities""", SUPPLIED, COMPONENT, "m AS (SELECT node, min(root) AS root FROM r GROUP BY node)", recursive=True)
+@query(f"""SELECT c.root, c.entities, a.assertions, a.tx_start, a.sources FROM (SELECT root, count(*) AS entities FROM members GROUP BY root) c
+JOIN (SELECT root, count(*) AS assertions, max(tx_from) AS tx_start, count(DISTINCT tx_from % {NDOCS}) AS sources FROM located JOIN members ON node = subject GROUP BY root) a ON a.root = c.root""", LOCATED, REGIONS)
 def community_summary(g: Graph) -> DataFrame:
-    of = g.supplied().filter("tx_from % 97 = 0")
-    return gx.community_summary(of, gx.components(_parts_of(g))).select("root", "entities", "assertions", "valid_start", "valid_end", "tx_start", "sources")
+    return gx.community_summary(g.located(), _regions(g)).select("root", "entities", "assertions", "tx_start", "sources")
 
 
 @query()
@@ -678,10 +687,10 @@ def log_segments(g: Graph) -> DataFrame:
     return ev.segments(g.events_log(), 1000).select("segment", "first", "last", "n")
 
 
-@query("SELECT event_id AS seq FROM events WHERE event_id % 100 <> 13 AND event_id NOT IN (SELECT event_id + 1 FROM events WHERE event_id % 100 <> 13) AND event_id <> (SELECT min(event_id) FROM events)")
+@query("SELECT event_id AS seq FROM events WHERE event_type = 'purchase' AND event_id NOT IN (SELECT event_id + 1 FROM events WHERE event_type = 'purchase') AND event_id <> (SELECT min(event_id) FROM events WHERE event_type = 'purchase')")
 def log_gaps(g: Graph) -> DataFrame:
-    """Where a log without every hundredth record breaks off."""
-    return ev.gaps(g.events_log().filter("seq % 100 != 13"))
+    """Where the log of purchases doesn't follow on."""
+    return ev.gaps(g.events_log().filter("kind = 'purchase'"))
 
 
 @query("SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) AS tx FROM events")
