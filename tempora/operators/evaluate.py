@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tempora.functions import scalar as fx
 from tempora.functions import temporal as tm
 from tempora.operators.aggregates import set_metrics
+from tempora.tables import saved
 
 #: How many records each strategy takes, its latency in microseconds and its cost.
 STRATEGIES = {"vector": (3, 700, 2.0), "keyword": (3, 300, 1.0), "graph": (4, 550, 1.5), "temporal_graph": (4, 650, 1.8), "hybrid": (5, 950, 3.5)}
@@ -94,10 +95,10 @@ def retrieve(cases: DataFrame, evidence: DataFrame, paths: DataFrame, strategies
     w = Window.partitionBy("strategy", "case_id").orderBy(F.desc("score"), "evidence_id")
     got = j.filter(allowed).withColumn("score", F.round(score, 9)).filter("score > 0").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("strategy", "routed", "case_id", "evidence_id")
     by_path = paths.select(F.col("id").alias("path_id"), F.explode("evidence_ids").alias("evidence_id"))
-    n = -1
+    got, n = saved(got, "retrieved"), -1
     while True:
         grown = got.filter(F.col("routed").isin("graph", "temporal_graph", "hybrid")).join(by_path, "evidence_id").select("strategy", "routed", "case_id", "path_id").distinct().join(by_path, "path_id").select("strategy", "routed", "case_id", "evidence_id")
-        got = got.union(grown).distinct()
+        got = saved(got.union(grown).distinct(), "retrieved")
         was, n = n, got.count()
         if n == was:
             return got

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from tempora.functions import scalar as fx
 from tempora.functions import temporal as tm
+from tempora.operators import activation as ac
 from tempora.operators import aggregates as ax
 from tempora.operators import belief as bx
 from tempora.operators import contradictions as cx
+from tempora.operators import evaluate as el
 from tempora.operators import events as ev
 from tempora.operators import evidence as pk
 from tempora.operators import graph as gx
 from tempora.operators import kernel as kx
+from tempora.operators import maintenance as mt
 from tempora.operators import memory as mx
+from tempora.operators import ontology as on
 from tempora.operators import select as sx
+from tempora.operators import sharing as sh
 from tempora.plans import lang
 from tempora.sources import ingest as ig
 from tempora.sources.graph import Graph
@@ -724,3 +729,70 @@ def validation_rules(g: Graph) -> DataFrame:
     """Rules that assertions break if unrated sources don't count as known."""
     return ev.violations(g.state(), g.entities(), g.sources().filter("trust_pct is not null")).groupBy("rule").agg(F.count("*").alias("n"))
 
+
+
+# ontology, maintenance, agents
+
+
+@query("SELECT id, 'subject-type' AS rule FROM located WHERE subject NOT LIKE 'customer-%'", LOCATED)
+def ontology_violations(g: Graph) -> DataFrame:
+    """What breaks an ontology in which only persons lie in places."""
+    return on.assertion_violations(g.located(), g.entities(), on.Ontology({}, {"LOCATED_IN": {"subject": "Person", "object": "Place"}}))
+
+
+CHANGED = "changed AS (SELECT * FROM state WHERE tx_from > 600 OR tx_to > 600)"
+
+
+@query("""SELECT job, count(*) AS n FROM (
+  SELECT 'stale' AS job FROM changed WHERE status = 'Active' AND 20000 - tx_from >= 15000
+  UNION ALL SELECT 'contradiction' FROM conflicts WHERE assertion_a IN (SELECT id FROM changed) OR assertion_b IN (SELECT id FROM changed)
+  UNION ALL SELECT 'recompute-community' FROM (SELECT DISTINCT subject FROM changed)
+  UNION ALL SELECT 'refresh-summary' FROM changed
+  UNION ALL SELECT 'recalibrate-trust' FROM sources WHERE observed_at > 600 AND trust_pct < 50) GROUP BY job""", STATE, CONFLICTS, SOURCES, CHANGED)
+def maintenance_jobs(g: Graph) -> DataFrame:
+    jobs = mt.assertion_jobs(g.state(), g.entities(), g.sources(), 600, 20000, 15000)
+    return jobs.groupBy("job").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT subject AS key FROM state WHERE tx_from BETWEEN 500 AND 700 OR tx_to BETWEEN 500 AND 700", STATE)
+def cache_invalidation(g: Graph) -> DataFrame:
+    """Users whose cached answers depend on an assertion that changed."""
+    s = g.state()
+    return mt.affected_cache_keys(s.select(F.col("subject").alias("key"), "id"), sx.changed_between(s, 500, 700))
+
+
+@query("SELECT 'mem-' || conv_id || '-' || turn AS id, role = 'user' OR role = 'system' AS readable FROM conversations")
+def shared_records(g: Graph) -> DataFrame:
+    """Which turns a user may read if its own and the system's are open and the others private."""
+    m = g.memories()
+    r = m.select(F.col("id").alias("claim_id"), F.col("agent_id").alias("created_by"), F.when(F.col("agent_id") == "system", "Public").otherwise("Private").alias("visibility"), F.array().cast("array<string>").alias("shared_with"))
+    members = g.spark.createDataFrame([("all", "user"), ("all", "assistant")], "team string, agent string")
+    return sh.exchange(r, members, "user").select(F.col("claim_id").alias("id"), (F.col("decision") == "shared").alias("readable"))
+
+
+@query()
+def private_counts_noisy(g: Graph) -> DataFrame:
+    return sh.private_counts(g.state(), "obj_text", 5, 1.0, 42)
+
+
+@query()
+def activation_top10(g: Graph) -> DataFrame:
+    """What a thought of nation 3 activates among places, people and assertions."""
+    a = g.located()
+    seeds = g.spark.createDataFrame([("nation-3", 1.0)], "id string, weight double")
+    return ac.rank(ac.adjacency(a), seeds).select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(10)
+
+
+@query("SELECT strategy, CAST(2 AS BIGINT) AS cases FROM (VALUES ('adaptive'), ('keyword'), ('temporal_graph')) t(strategy)")
+def retrieval_report(g: Graph) -> DataFrame:
+    """Strategies over the events of two users as evidence; each answers both cases."""
+    s = g.state().filter("subject in ('user-7', 'user-8')")
+    evidence = s.select("id", "subject", "predicate", F.col("obj_text").alias("object"), "valid_from", "valid_to", F.col("tx_from").alias("known_from"), F.concat_ws(" ", "subject", "obj_text").alias("text"))
+    cases = g.spark.createDataFrame([("c1", "What did user-7 click?", V, None, ["temporal_qa"]), ("c2", "Did user-8 purchase or view?", None, None, ["contradiction"])], "id string, question string, valid_at long, known_at long, tags array<string>")
+    gold = evidence.filter("object in ('click', 'purchase')").groupBy("subject").agg(F.collect_set("id").alias("gold_evidence_ids")).withColumn("id", F.when(F.col("subject") == "user-7", "c1").otherwise("c2")).drop("subject")
+    none = F.array().cast("array<string>")
+    cases = cases.join(gold, "id", "left").withColumns({"gold_evidence_ids": F.coalesce("gold_evidence_ids", none), "required_path_ids": none, "gold_contradiction_ids": none})
+    paths = g.spark.createDataFrame([], "id string, evidence_ids array<string>")
+    clashes = g.spark.createDataFrame([], "id string, assertion_a string, assertion_b string, contradiction_type string")
+    got = el.retrieve(cases, evidence, paths, ["keyword", "temporal_graph", "adaptive"])
+    return el.report(el.scored(cases, evidence, paths, clashes, got)).select("strategy", "cases")
