@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.tables import clear, new_path, saved, shared_dir
 
-__all__ = ["clear", "free_name", "new_path", "row_key", "saved", "shared_dir", "table"]
+__all__ = ["arrow", "clear", "free_name", "new_path", "row_key", "saved", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +25,22 @@ def free_name(df: DataFrame, name: str) -> str:
 def row_key(*cols: str):
     """A 64-bit key of a row's id and text; equal rows share it."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+
+
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches small enough for long texts.
+
+    Sets the session's limits of an Arrow batch to ``BATCH_ROWS`` and
+    ``BATCH_BYTES`` where they are larger: batches live in the executor's JVM and
+    in the Python worker at once, and their default size is made for narrow rows.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name, str(most)).rstrip("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            conf.set(name, str(most))
+    return df.mapInArrow(run, schema)

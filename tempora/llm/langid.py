@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.frames import free_name
+from tempora.llm.frames import arrow, free_name
 
 FEATURES = 4096
 SAMPLE = 1536  # texts that the classifiers are fitted on, at most about, over all languages
@@ -140,7 +140,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
                 values = m[at, col]
                 yield pa.record_batch([batch.column(0).slice(a, len(m)), batch.column(1).slice(a, len(m)), pa.array([col[s:e].astype(np.uint16).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([values[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["h", "lang", "at", "x"])
 
-    got = sorted(chosen.select("h", "lang", "text").mapInArrow(run, "h long, lang string, at binary, x binary").collect())
+    got = sorted(chosen.select("h", "lang", "text").transform(arrow, run, "h long, lang string, at binary, x binary").collect())
     x = np.zeros((len(got), FEATURES), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             out = [words[np.where(known, best, k)], np.where(known, score, 0.0), words[np.where(known & (k > 1), second, k)], ~known | (lead < AMBIGUOUS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out[0], pa.string()), pa.array(out[1]), pa.array(out[2], pa.string()), pa.array(out[3])], names=schema.names)
 
-    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).transform(arrow, run, schema)
 
 
 def op1_language_id(spark, sf_dir):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import files
-from tempora.llm.frames import new_path, saved
+from tempora.llm.frames import arrow, new_path, saved
 
 ROW, WIDTH, PAD = 192, 64, b" "
 SHARD_BYTES = 256 << 20
@@ -147,7 +147,7 @@ def _written(rows: DataFrame, folder: str, marked: bytes | None) -> DataFrame:
         if shard:
             shard.close()
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(arrow, run, schema)
 
 
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -192,7 +192,7 @@ def _each_object(objects: DataFrame, columns: list[tuple[str, T.DataType, pa.Dat
         if f:
             f.close()
 
-    return objects.mapInArrow(run, schema)
+    return objects.transform(arrow, run, schema)
 
 
 def with_metadata(objects: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.frames import row_key, saved
+from tempora.llm.frames import arrow, row_key, saved
 from tempora.operators.graph import components
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 )
 
     rows = docs.select(row_key(id_col, text_col).alias("rk"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.transform(arrow, run, schema)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             keys = band_keys(sig).view(np.int64).ravel()
             yield pa.record_batch([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["key", "band", "digest"])
 
-    return classes.select("digest", "sig").mapInArrow(run, "key long, band int, digest binary")
+    return classes.select("digest", "sig").transform(arrow, run, "key long, band int, digest binary")
 
 
 def _groups(batches, width: int):
@@ -252,7 +252,7 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
                 yield pa.record_batch([pa.array([x[0] for x in keep], pa.binary()), pa.array([x[1] for x in keep], pa.binary())], names=["digest", "shingles"])
 
     rows = docs.select(row_key(id_col, text_col).alias("rk"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = rows.join(wanted, "rk").select("digest", "text").mapInArrow(run, "digest binary, shingles binary")
+    found = rows.join(wanted, "rk").select("digest", "text").transform(arrow, run, "digest binary, shingles binary")
     return found.dropDuplicates(["digest"])
 
 
@@ -278,11 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.select("key", F.least("chunk", "other").alias("g1"), F.greatest("chunk", "other").alias("g2"), "chunk", "band", "digest").join(classes.select("digest", "n", "sig"), "digest")
     met = met.select("key", "g1", "g2", "chunk", "band", "digest", "n", "sig")
     by = ["key", "g1", "g2"]
-    involved = saved(met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_involved(num, den), met.schema), "candidates")
+    involved = saved(met.repartition(*by).sortWithinPartitions(*by).transform(arrow, _involved(num, den), met.schema), "candidates")
     wanted = classes.join(involved.select("digest").distinct(), "digest", "left_semi").select("rk", "digest")
     sets = _full_sets(docs, id_col, text_col, shingle, wanted)
     ready = involved.join(sets, "digest").select(*met.columns, "shingles")
-    links = ready.repartition(*by).sortWithinPartitions(*by).mapInArrow(_confirmed(num, den), "a binary, b binary")
+    links = ready.repartition(*by).sortWithinPartitions(*by).transform(arrow, _confirmed(num, den), "a binary, b binary")
     roots = components(links)
     linked = classes.join(roots, F.col("digest") == F.col("node")).select("digest", "id", "root")
     least = linked.groupBy("root").agg(F.min("id").alias("component"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tempora.llm.bpe import encoder
 from tempora.llm.columns import pieces
-from tempora.llm.frames import saved
+from tempora.llm.frames import arrow, saved
 
 WINDOW, END_ID = 1024, 0
 BATCH_BYTES = 16 << 20
@@ -41,7 +41,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, json_path: str, ranks
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int64)), pa.array(total + ends - n), pa.array(n), data.cast(pa.binary())], names=["id", "part", "before", "n", "ids"])
                 total += int(ends[-1])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).transform(arrow, run, schema)
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum((end - begin) * 4)).astype(np.int64)), pa.py_buffer(b"".join(batch.column(4).to_pylist()))])
                 yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(begin - first[row]), pa.array(end - begin), pa.array(n[row]), pa.array(seq), pa.array(begin - seq * window), data.cast(pa.binary())], names=schema.names)
 
-    return tokens.select("id", "part", "before", "n", "ids").mapInArrow(run, schema)
+    return tokens.select("id", "part", "before", "n", "ids").transform(arrow, run, schema)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int | None = None) -> DataFrame:

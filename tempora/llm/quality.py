@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.frames import free_name, row_key, saved
+from tempora.llm.frames import arrow, free_name, row_key, saved
 
 ORDER = 4  # bytes of an n-gram, at most 7
 BLOCK_BYTES = 48 << 20
@@ -125,7 +125,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             texts = batch.column(batch.num_columns - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack.compress(t.as_py().encode()) for t in texts], pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(arrow, run, schema)
 
 
 def discounts(counts: list[int]) -> list[float]:

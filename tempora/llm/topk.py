@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.frames import new_path, saved
+from tempora.llm.frames import arrow, new_path, saved
 
 QUERY_BLOCK, ROW_BLOCK, BINS = 1024, 1024, 2048
 
@@ -117,7 +117,7 @@ def _kth(rows: DataFrame, shared, k: int, low: np.ndarray, high: np.ndarray) ->
     while (high > low).any():
         width = -(-(high - low + 1) // BINS)
         state = spark.sparkContext.broadcast((low, high, width))
-        found = rows.mapInArrow(_histograms(shared, k, state), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        found = rows.transform(arrow, _histograms(shared, k, state), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         top = found.withColumn("upto", F.sum("n").over(down)).filter(F.col("upto") - F.col("n") < k)
         best: dict = {}
         for q, b, n, upto in sorted(top.select("q", "bin", "n", "upto").collect(), key=lambda r: (r[0], -r[1])):  # at most k bins a query
@@ -186,7 +186,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
         bound = _bounds(rows, block)
         kth = _kth(rows, shared, k, -bound, bound)
-        found = rows.mapInArrow(_winners(shared, k, kth), "query_id long, q int, vec_id long, score long")
+        found = rows.transform(arrow, _winners(shared, k, kth), "query_id long, q int, vec_id long, score long")
         found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
         shared.unpersist()

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tempora.llm import boosting
 from tempora.llm import columns as C
-from tempora.llm.frames import free_name, saved
+from tempora.llm.frames import arrow, free_name, saved
 
 SAMPLE = 4096  # labelled documents of each class that the model is fitted on, at most about
 LEARNED_WORDS = 256
@@ -113,7 +113,9 @@ def features(column: pa.Array, learned: tuple[np.ndarray, np.ndarray]) -> np.nda
         mixed = np.zeros(len(starts), bool)
         if inner.any():
             mixed[np.searchsorted(starts, np.flatnonzero(inner), side="right") - 1] = True
-        read = _READ[raw]
+        follows = np.zeros(len(raw), bool)  # a look-alike is read as a letter where a letter or digit comes next
+        follows[:-1] = (letters | digits)[1:]
+        read = np.where(follows, _READ[raw], raw)
         hr, first_read = letter_words(read, offsets)
         disguised = np.maximum(_sum(_is_in(hr, lexicon) | _is_in(hr, known), first_read) - _sum(bad, first), 0)
         upper = _UPPER[raw]
@@ -166,7 +168,7 @@ def _learned_words(sample: DataFrame, most: int, least: int) -> tuple[np.ndarray
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return np.zeros(0, np.uint64), np.zeros(0)
-    words = sample.select("text", "y").mapInArrow(run, "h long, y int").groupBy("h").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    words = sample.select("text", "y").transform(arrow, run, "h long, y int").groupBy("h").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     got = words.filter(F.col("pos") >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "h").limit(most).collect()
     got = sorted((int(np.int64(r["h"]).view(np.uint64)), r["odds"]) for r in got)
@@ -196,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(features(batch.column(2), shared.value)), pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    got = sorted((r["h"], r["y"], r["x"]) for r in rows.select("h", "y", "text").mapInArrow(run, "h long, y int, x array<double>").collect())
+    got = sorted((r["h"], r["y"], r["x"]) for r in rows.select("h", "y", "text").transform(arrow, run, "h long, y int, x array<double>").collect())
     x = np.array([r[2] for r in got]).reshape(-1, len(NAMES))
     y = np.array([r[1] for r in got], float)
     fold = np.array([r[0] % 4 for r in got])
@@ -224,7 +226,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(shared.value.scores(batch.column(width)))], names=schema.names)
 
-    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).transform(arrow, run, schema)
 
 
 def op8_toxicity(spark, sf_dir):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import files
-from tempora.llm.frames import new_path, saved
+from tempora.llm.frames import arrow, new_path, saved
 
 #: Fixed values of the format: the magic number of the leading dictionary frame, the profile of equal payloads.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if archive:
             yield placed(archive.close())
 
-    return saved(rows.mapInArrow(run, "page_id long, archive string, offset long, length long"), "warc-index")
+    return saved(rows.transform(arrow, run, "page_id long, archive string, offset long, length long"), "warc-index")
 
 
 def open_dictionary(f) -> tuple[zstandard.ZstdCompressionDict, int]:
@@ -222,7 +222,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield pa.record_batch([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], names=names)
 
-    return archives.select("archive").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return archives.select("archive").transform(arrow, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def op2_warc(spark, sf_dir):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.frames import free_name
+from tempora.llm.frames import arrow, free_name
 
 MARK = b" "
 LONG_WORD = 48  # bytes; longer words step one by one
@@ -175,7 +175,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text
                 tokens[a:b] = np.diff(np.append(0, np.cumsum(automaton.count(raw, starts, ends)))[first])
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(words), pa.array(tokens)], names=schema.names)
 
-    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).transform(arrow, run, schema)
 
 
 def op7_token_counts(spark, sf_dir):
