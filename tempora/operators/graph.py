@@ -214,3 +214,41 @@ def community_summary(assertions: DataFrame, roots: DataFrame) -> DataFrame:
     t = of.groupBy("root").agg(F.count("*").alias("assertions"), F.max("valid_from").alias("valid_start"), F.min("valid_to").alias("valid_end"), F.max("tx_from").alias("tx_start"), F.min("tx_to").alias("tx_end"))
     s = of.select("root", F.explode("source_ids").alias("s")).distinct().groupBy("root").agg(F.count("*").alias("sources"))
     return size.join(t, "root", "left").join(s, "root", "left")
+
+
+def component_of(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node) of everything connected with the seeds (id), themselves included: only their components are walked."""
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    found = reachable(both, seeds).select("node")
+    return found.union(seeds.select("id")).distinct()
+
+
+def recompute_affected(assertions: DataFrame, roots: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node, root): components after a change, computed anew for the components the changed entities (id) touch or now join, the rest as they were."""
+    e = edges(assertions).select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    old = roots.join(changed.withColumnRenamed("id", "node"), "node", "left_semi").select("root").distinct()
+    touched = roots.join(old, "root", "left_semi").select(F.col("node").alias("id")).union(changed.select("id")).distinct()
+    inside = component_of(e, touched)
+    part = e.join(inside.withColumnRenamed("node", "a"), "a", "left_semi")
+    return roots.join(inside, "node", "left_anti").select("node", "root").union(components(part))
+
+
+def shortest_paths(pairs: DataFrame, starts: DataFrame, end: str, depth: int) -> DataFrame:
+    """(nodes, length): the first of the shortest paths, by nodes, from any start (id) to the end."""
+    levels = bfs(pairs, starts, depth)
+    e = saved(pairs.select("a", "b").distinct(), "edges")
+    length = levels.filter(F.col("node") == end).select("depth").first()
+    if length is None:
+        return starts.sparkSession.createDataFrame([], "nodes array<string>, length int")
+    back = starts.sparkSession.createDataFrame([(end, [end])], "at string, nodes array<string>")
+    for d in range(length["depth"] - 1, -1, -1):
+        step = back.join(e, back["at"] == e["b"]).join(levels.filter(F.col("depth") == d), F.col("a") == F.col("node"))
+        back = step.select(F.col("a").alias("at"), F.concat(F.array("a"), F.col("nodes")).alias("nodes")).groupBy("at").agg(F.min("nodes").alias("nodes"))
+    return back.agg(F.min("nodes").alias("nodes")).select("nodes", F.lit(length["depth"]).alias("length"))
+
+
+def confidence_deltas(impacted: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, before, after, delta): what rules (predicate, delta) do to the confidence of impacted assertions, held in [0, 1]."""
+    by = rules.groupBy("predicate").agg(F.sum("delta").alias("d"))
+    after = F.least(F.greatest(F.col("confidence") + F.col("d"), F.lit(0.0)), F.lit(1.0))
+    return impacted.join(by, "predicate").select("id", F.col("confidence").alias("before"), after.alias("after"), (after - F.col("confidence")).alias("delta"))

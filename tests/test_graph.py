@@ -281,3 +281,20 @@ def test_language_runs_all_statements(spark):
     assert [r.path for r in engine.run('CAUSES OF Event("e2")').collect()] == ["e1>e2"]
     assert engine.run('CONTRADICTIONS FOR Id("p")').count() == 1
     assert {r.entity for r in engine.run('COUNTERFACTUAL REMOVE ASSERTION("1")').collect()} == {"p", "c"}
+
+
+def test_affected_components_and_shortest_paths(spark):
+    a = frame(spark, [row("1", "a", "P", entity="b"), row("2", "c", "P", entity="d"), row("3", "x", "P", entity="y")])
+    pairs = gx.edges(a).select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    roots = gx.components(pairs)
+    more = a.union(frame(spark, [row("4", "b", "P", entity="c")]))
+    changed = spark.createDataFrame([("b",), ("c",)], "id string")
+    got = {r.node: r.root for r in gx.recompute_affected(more, roots, changed).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+    start = spark.createDataFrame([("a",)], "id string")
+    e = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "z"), ("c", "z")], "a string, b string")
+    r = gx.shortest_paths(e, start, "z", 3).first()
+    assert (r.nodes, r.length) == (["a", "b", "z"], 2)
+    assert gx.shortest_paths(e, start, "q", 3).count() == 0
+    rules = spark.createDataFrame([("P", -0.9)], "predicate string, delta double")
+    assert gx.confidence_deltas(a.filter("id = '1'"), rules).first().after == 0.0
