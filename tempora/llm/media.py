@@ -46,7 +46,7 @@ def encode(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line begins with its filter, none
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def header(data: bytes) -> tuple[int, int, int]:
