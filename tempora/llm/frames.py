@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,23 @@ def row_key(*cols: str):
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the system: the C allocator and Arrow's pool keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _trimming(batches):
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches small enough for long texts.
+    """``df.mapInArrow(run, schema)`` with batches small enough for long texts, and workers trimmed after each.
 
     Sets the session's limits of an Arrow batch to ``BATCH_ROWS`` and
     ``BATCH_BYTES`` where they are larger: batches live in the executor's JVM and
@@ -43,4 +61,4 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
         now = conf.get(name, str(most)).rstrip("b")
         if not now.isdigit() or int(now) <= 0 or int(now) > most:
             conf.set(name, str(most))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(_trimming(batches)), schema)
