@@ -43,6 +43,7 @@ from tempora.operators.graph import components
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 ROWS = REGISTERS // BANDS
 CHUNK = 1024
+SALTS = 16  # parts among which the rows of one class are dealt
 ESTIMATE_FROM, MARGIN = 256, 0.2
 BATCH_BYTES = 8 << 20
 _U = np.uint64
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, whatever their names. An empty table gives an empty one.
     """
     rows = saved(sketches(docs, id_col, text_col, shingle), "sketches")
-    classes = saved(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = saved(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows")), "classes")
     bands = _bands(classes)
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     met = bands.join(shared, "key").withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
@@ -287,9 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.join(roots, F.col("digest") == F.col("node")).select("digest", "id", "root")
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     of_class = linked.join(least, "root").select("digest", "component")
-    ids = classes.select("digest", "id").join(of_class, "digest", "left").select("digest", F.coalesce("component", "id").alias("of_class"))
-    out = rows.select("rk", "id", "n", "digest").join(ids, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("of_class")).otherwise(F.col("id"))
+    # most classes are one row without a link and need no join; rows of the others are dealt among salts, as a class may be large
+    ids = classes.select("digest", "id", "rows").join(of_class, "digest", "left").filter("rows > 1 or component is not null")
+    ids = ids.select("digest", F.coalesce("component", "id").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = rows.select("rk", "id", "n", "digest", F.pmod(F.xxhash64("id", "rk"), F.lit(SALTS)).cast("int").alias("salt")).join(ids, ["digest", "salt"], "left")
+    component = F.coalesce("of_class", "id")
     return out.select("rk", "id", F.col("n").alias("n_shingles"), component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
