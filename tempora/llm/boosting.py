@@ -43,9 +43,10 @@ def _bins(x: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, l2: float = 1.0, least: float = 2.0) -> Trees:
-    """Boost on the logistic loss with second-order leaves; every tie goes to the first feature and cut."""
-    p = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, l2: float = 1.0, least: float = 2.0, weight: np.ndarray | None = None) -> Trees:
+    """Boost on the logistic loss with second-order leaves; every tie goes to the first feature and cut. A row counts ``weight`` times."""
+    weight = np.ones(len(y)) if weight is None else weight
+    p = np.clip(np.average(y, weights=weight) if len(y) else 0.0, 1e-4, 1 - 1e-4)
     model = Trees(base=float(np.log(p / (1 - p))), depth=depth)
     if not len(y) or y.min() == y.max():
         return model
@@ -55,7 +56,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     inner, size = 2**depth - 1, bins + 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         f, c, node = np.full(inner, -1), np.zeros(inner), np.zeros(len(x), int)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
@@ -102,15 +103,16 @@ class Isotonic:
         return np.interp(raw, self.x, self.y)
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> Isotonic:
-    """Pool adjacent violators; blocks are joined by lines between their mean scores. Without rows: the logistic map."""
+def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+    """Pool adjacent violators; blocks are joined by lines between their mean scores. Without rows: the logistic map. A row counts ``weight`` times."""
     if not len(raw):
         x = np.linspace(-8, 8, 65)
         return Isotonic(x, 1 / (1 + np.exp(-x)))
     order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, count, sum of x
-    for x, t in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([t, 1, x])
+    weight = np.ones(len(y)) if weight is None else weight
+    blocks: list[list[float]] = []  # sums of y, weight and x
+    for x, t, w in zip(raw[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([t * w, w, x * w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
             blocks[-1] = [u + v for u, v in zip(blocks[-1], a, strict=True)]

@@ -178,6 +178,9 @@ def _learned_words(sample: DataFrame, most: int, least: int) -> tuple[np.ndarray
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample: about ``sample`` documents of each class, chosen by a hash of the id.
 
+    Rows of a class weigh its labels by its sampled ones, so trees and curve keep
+    the share of each class whatever the sample; weights average 1.
+
     ``labels`` holds the id and a 0/1 label; nulls don't count and of repeated
     labels the highest holds. Documents without a label don't count; equal rows
     count once. Without rows of both classes every score is the share of label 1
@@ -189,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
     h = F.xxhash64("id", F.lit(11))
     chosen = marks.withColumn("h", h).filter((F.col("h").cast("double") / 2.0**64 + 0.5) < share).orderBy("h").limit(4 * sample)
+    drawn = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = saved(rows.join(F.broadcast(chosen), "id").select("h", "y", "text").dropDuplicates(["h", "text"]), "labelled")
     learned = _learned_words(rows, LEARNED_WORDS, LEARNED_LEAST)
@@ -205,10 +209,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(learned, boosting.Trees(), boosting.Isotonic(np.array([0.0, 1.0]), np.array([p, p])))
+    weight = np.where(y == 1, size[1] / drawn[1], size[0] / drawn[0])
+    weight /= weight.mean()
     raw = np.zeros(len(y))
     for k in range(4):  # scores of rows by models that haven't seen them
-        raw[fold == k] = boosting.fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learned, boosting.fit(x, y), boosting.isotonic(raw, y))
+        raw[fold == k] = boosting.fit(x[fold != k], y[fold != k], weight=weight[fold != k]).raw(x[fold == k])
+    return Model(learned, boosting.fit(x, y, weight=weight), boosting.isotonic(raw, y, weight))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -171,6 +171,25 @@ def test_toxicity_held_out(spark):
     assert sum((s >= 0.5) == y for s, y in held) / len(held) > 0.95
 
 
+def test_weights_count_as_repeated_rows():
+    rng = np.random.default_rng(1)
+    x, y, n = rng.integers(0, 9, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float), rng.integers(1, 5, 200)
+    a, b = boosting.fit(x, y, weight=n.astype(float)), boosting.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert np.allclose(a.raw(x), b.raw(x))
+    raw = np.arange(200.0)
+    c, d = boosting.isotonic(raw, y, n.astype(float)), boosting.isotonic(np.repeat(raw, n), np.repeat(y, n))
+    assert np.allclose(c.x, d.x) and np.allclose(c.y, d.y)
+
+
+def test_toxicity_keeps_the_share_of_classes_in_a_sample(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{made_up('a', rng, 8)} {'idiot' if i % 5 == 0 else 'ka'}", int(i % 5 == 0 and rng.random() < 0.3)) for i in range(16000)]  # 30 % of a fifth
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.toxicity for r in toxicity.score(d, toxicity.learn(d, d.select("doc_id", "toxic"), sample=800)).collect()}
+    bad = [out[i] for i in range(0, 16000, 5)]
+    assert sum(out.values()) / 16000 == pytest.approx(0.06, abs=0.03) and sum(bad) / 3200 == pytest.approx(0.3, abs=0.1)
+
+
 def test_toxicity_features():
     names = toxicity.NAMES
     learned = (np.zeros(0, np.uint64), np.zeros(0))
