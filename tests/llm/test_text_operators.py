@@ -283,5 +283,20 @@ def test_packing_is_lossless(spark, odd_documents, no_documents, tokenizer, wind
     assert all(len(r.ids) == 4 * window for r in whole)
 
 
+def test_packing_follows_the_order_of_the_write(spark, tokenizer):
+    from tempora.llm import mixing
+    from tempora.llm.frames import saved
+
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', int(id) + 1)").alias("text"), F.lit("x").alias("source"))  # later files are larger
+    order = lambda p: [r.id for r in sorted(p.filter("start = 0").select("id", "sequence_id", "offset").collect(), key=lambda r: r[1:])]
+    table = saved(d.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), "test")
+    assert len(table.inputFiles()) == 5 and order(packing.pack(table, "doc_id", "text", *tokenizer, stored=True)) == list(range(200))
+    d = d.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).repartition(4)
+    want = [r["__id"] for r in sorted(mixing.schedule(mixing.mix(d)).collect(), key=lambda r: (r.position, r["__key"], r.copy))]
+    assert order(packing.pack(saved(mixing.mixed_documents(d), "test"), "doc_id", "text", *tokenizer, stored=True)) == want
+    names = ["x/part-100000-a-c000.snappy.parquet", "x/part-00002-b-c001.parquet", "x/part-00002-b-c000.parquet", "x/other.parquet"]
+    assert sorted(names, key=packing.write_order) == [names[2], names[1], names[0], names[3]]
+
+
 def test_crc_column_is_zlibs(spark):
     assert spark.range(1).select(F.crc32(F.lit(bytearray(b"abc"))).alias("c")).first().c == zlib.crc32(b"abc")
