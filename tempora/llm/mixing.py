@@ -118,13 +118,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("__id", "__source", "__key", "size", "source_size", "target", F.aggregate(copies, F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), placed.alias("copies"))
 
 
-def schedule(mixed: DataFrame) -> DataFrame:
-    """The copies of a mix in training order: position, __key, __id, words, size; range-sorted, ties by key and copy."""
-    rows = mixed.select("__id", "__key", "size", F.posexplode("copies").alias("copy", "c")).select("__id", "__key", "size", "copy", "c.position", "c.words")
+def schedule(mixed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The copies of a mix in training order: position, __key, __id, words, size and the columns ``keep``; range-sorted, ties by key and copy."""
+    own = ["__id", "__key", "size", *keep]
+    rows = mixed.select(*own, F.posexplode("copies").alias("copy", "c")).select(*own, "copy", "c.position", "c.words")
     by = ["position", "__key", "copy"]
     return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def places(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with positions and places of each document's copies in the schedule, by copy.
+
+    A place counts the copies that come before in training order, from 0: those
+    of earlier ranges, by prefix sums over one row a range, and those before it
+    in its own. A document that isn't taken has empty arrays.
+    """
+    mixed = saved(mixed.withColumn("__row", F.monotonically_increasing_id()), "mix")
+    rows = saved(schedule(mixed, ("__row",)).withColumn("__at", F.monotonically_increasing_id()), "schedule")
+    rows = rows.withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})  # Spark's layout: partition, row
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(bases), "__part").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("copy", "position", (F.col("base") + F.col("__at")).alias("place")))).alias("c"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    out = mixed.join(rows, "__row", "left")
+    return out.withColumns({"positions": F.coalesce("c.position", none("double")), "places": F.coalesce("c.place", none("bigint"))}).drop("__row", "c")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order, with the columns of ``docs``.
 
@@ -147,7 +166,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_mixing(spark, sf_dir):
-    """Contract query: all documents, sources weighing 1, 2, 3 in turn."""
+    """Contract query: all documents, sources weighing 1, 2, 3 in turn, with each copy's position and place in the training order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    m = mix(docs)
-    return m.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").alias("copies"))
+    m = places(mix(docs))
+    return m.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").alias("copies"), "positions", "places")

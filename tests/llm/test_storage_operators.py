@@ -164,6 +164,18 @@ def test_mixed_documents_have_the_taken_words(spark):
     assert got == +want
 
 
+def test_places_by_brute_force(spark, tmp_path):
+    d = mixed_source(spark, 2)
+    d = d.union(d.limit(40))  # equal rows
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op3_mixing(spark, str(tmp_path)).collect()
+    mixed = mixing.mix(d).collect()
+    copies = sorted((c.position, r["__key"], i, r["__id"]) for r in mixed for i, c in enumerate(r.copies))
+    want = Counter((x[3], k, x[0]) for k, x in enumerate(copies))
+    assert Counter((r.doc_id, k, t) for r in got for k, t in zip(r.places, r.positions, strict=True)) == want
+    assert len(got) == len(mixed) and all(len(r.places) == r.copies and r.places == sorted(r.places) for r in got) and any(not r.places for r in got)
+
+
 def test_mixing_odd_rows(spark, odd_documents, no_documents):
     m = mixing.mix(odd_documents).collect()
     assert len(m) == 10 and {r["size"] for r in m if r["__id"] in (2, 3, 4)} == {0}
