@@ -17,12 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.frames import arrow, free_name
+from tempora.llm.frames import arrow, free_name, saved
 
 FEATURES = 4096
 SAMPLE = 1536  # texts that the classifiers are fitted on, at most about, over all languages
@@ -113,6 +113,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-4)
     return w, b
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """(h, lang, text): of each language the texts with the least hashes, a quota or all there are; equal texts count once.
+
+    ``rows`` is (text, lang) without nulls; None if it is empty. A first cut at
+    four times the quota, of 16 at least, by the number of different texts keeps
+    the ranking small; that it leaves fewer than the quota has a chance under 1e-12.
+    """
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    texts = saved(rows.select("lang", "h").distinct(), "texts")
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return None
+    quota = max(16, sample // len(counts))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 4.0 * quota / n)])
+    few = texts.filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")])
+    least = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= quota).select("h", "lang")
+    return rows.join(F.broadcast(least), ["h", "lang"]).dropDuplicates(["h", "lang"]).select("h", "lang", "text")
+
+
 def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of ``labelled``: about ``sample`` texts, as many of each language, chosen by a hash of the text.
 
@@ -121,16 +142,9 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
     ``MAX_LANGUAGES`` languages raise ValueError.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    chosen = sampled(rows, sample)
+    if chosen is None:
         return Model([], np.zeros((0, 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.zeros((0, 1)), 1.0)
-    quota = max(16, sample // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, quota / n))])
-    h = F.xxhash64("text", F.lit(7))
-    chosen = rows.withColumn("h", h).filter((F.col("h").cast("double") / 2.0**64 + 0.5) < share[F.col("lang")]).dropDuplicates(["h", "lang"])
-    chosen = chosen.orderBy("h").limit(2 * quota * len(counts))
 
     def run(batches):
         for batch in batches:

@@ -59,6 +59,17 @@ def test_language_of_odd_rows(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and kept.filter("doc_id in (2, 3, 4, 7)").count() == 0
 
 
+def test_copies_do_not_shrink_a_languages_sample(spark):
+    rng = random.Random(8)
+    texts = [(made_up(x, rng), x) for x, n in (("a", 3), ("b", 40), ("c", 200)) for _ in range(n)]
+    d = spark.createDataFrame([t for t in texts for _ in range(1500 if t[1] == "a" else 20)], "text string, lang string")
+    got = langid.sampled(d, 96).collect()  # a quota of 32
+    assert Counter(r.lang for r in got) == {"a": 3, "b": 32, "c": 32} and len({(r.h, r.lang) for r in got}) == 67
+    hashes = {x: sorted(r.h for r in d.filter(F.col("lang") == x).select(F.xxhash64("text", F.lit(7)).alias("h")).distinct().collect()) for x in "abc"}
+    assert all(sorted(r.h for r in got if r.lang == x) == hashes[x][:32] for x in "abc")
+    assert langid.learn(d, "text", "lang", 96).languages == ["a", "b", "c"]
+
+
 # quality
 
 
