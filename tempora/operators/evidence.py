@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +59,30 @@ def redacted(sources: DataFrame, rules: DataFrame) -> DataFrame:
     return j.withColumn("uri", F.when(F.col("no_uri"), "[REDACTED]").otherwise(F.col("uri"))).withColumn("content_hash", F.when(F.col("no_hash"), "[REDACTED]").otherwise(F.col("content_hash"))).drop("gone", "no_uri", "no_hash")
 
 
-def greedy_budget(units: DataFrame, budget: int, keys: list[str], order: list[Column], tokens: str = "tokens", id: str = "id", most: int = 100_000) -> DataFrame:
+def greedy_budget(units: DataFrame, budget: int, keys: list[str], order: list[Column], tokens: str = "tokens", id: str = "id") -> DataFrame:
     """(keys, id, tokens): units taken in rank order while they fit; one that doesn't fit is skipped and the next tried.
 
-    A skipping fold isn't a running sum. It runs over each key's ordered array
-    of (tokens, id); a group holds at most ``most`` units after dropping those
-    larger than the whole budget, which can never be taken.
+    A skipping fold isn't a running sum. It runs over each key's units as they
+    come sorted, batch by batch, and carries only the key and the tokens left, so
+    a key may hold any number of units.
     """
-    ranked = units.filter(F.col(tokens) <= budget).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__r") <= most)
-    rows = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(tokens).cast("long").alias("t"), F.col(id).alias("id")))).alias("u"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<struct<t:bigint,id:{units.schema[id].dataType.simpleString()}>>").alias("taken"))
-    fold = F.aggregate("u", start, lambda acc, x: F.when(x["t"] <= acc["left"], F.struct((acc["left"] - x["t"]).alias("left"), F.concat(acc["taken"], F.array(F.struct(x["t"].alias("t"), x["id"].alias("id")))).alias("taken"))).otherwise(acc))
-    return rows.select(*keys, F.explode(fold["taken"]).alias("x")).select(*keys, F.col("x.id").alias(id), F.col("x.t").alias(tokens))
+    rows = units.filter(F.col(tokens) <= budget).repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = rows.select(*keys, F.col(id), F.col(tokens).cast("long").alias(tokens))
+    width = len(keys)
+
+    def run(batches):
+        key, left = None, budget
+        for batch in batches:
+            taken = []
+            for i, (*own, n) in enumerate(zip(*[batch.column(j).to_pylist() for j in (*range(width), width + 1)], strict=True)):
+                if own != key:
+                    key, left = own, budget
+                if n <= left:
+                    taken.append(i)
+                    left -= n
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def pack_texts(texts: DataFrame, budget: int, keys: list[str], order: list[Column], text: str = "content", id: str = "id") -> DataFrame:

@@ -180,6 +180,16 @@ def test_budget_skips_what_does_not_fit(spark):
     assert got == ["a", "c"]  # not b, though a running sum would stop there
 
 
+def test_greedy_budget_folds_a_hot_key_to_its_end(spark):
+    rank = F.col("id")
+    tokens = F.when(rank == 0, 7).when(rank <= 100_050, 5).otherwise(1)  # after the first, only the last ones fit
+    hot = spark.range(100_060).select(F.lit("a").alias("k"), "id", tokens.alias("tokens"))
+    u = hot.union(spark.createDataFrame([(None, 1, 10), (None, 2, 1), ("b", 1, 11), ("c", 1, 4), ("c", 2, None)], "k string, id long, tokens int"))
+    got = sorted((r.k or "", r.id, r.tokens) for r in pk.greedy_budget(u, 10, ["k"], [rank]).collect())
+    assert got == [("", 1, 10), ("a", 0, 7), ("a", 100_051, 1), ("a", 100_052, 1), ("a", 100_053, 1), ("c", 1, 4)]
+
+
+
 def test_pack_pulls_in_the_other_side(spark):
     a = frame(spark, [row("1", "x", "P", text="a", valid=(0, 5)), row("2", "x", "P", text="b", valid=(3, 9), sources=("s2",)), row("3", "y", "P", text="a")])
     e = spark.createDataFrame([("x",), ("y",)], "id string")
