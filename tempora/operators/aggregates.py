@@ -49,7 +49,7 @@ def predicate_mining(assertions: DataFrame, entities: DataFrame, known: list[str
     t = assertions.filter(~F.col("predicate").isin(known)) if known else assertions
     types = entities.select("id", "entity_type")
     t = t.join(types.select(F.col("id").alias("subject"), F.col("entity_type").alias("st")), "subject", "left").join(types.select(F.col("id").alias("obj_entity"), F.col("entity_type").alias("ot")), "obj_entity", "left")
-    only = lambda c: F.when(F.count_distinct(c) == 1, F.max(c))
+    only = lambda c: F.when(F.min(c) == F.max(c), F.max(c))  # one type exactly if the least is the greatest
     return t.groupBy("predicate").agg(F.count("*").alias("support"), only("st").alias("subject_type"), only("ot").alias("object_type"), F.bool_or(F.col("valid_to").isNotNull()).alias("temporal"))
 
 

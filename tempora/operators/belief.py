@@ -23,20 +23,25 @@ def average_trust(assertions: DataFrame, sources: DataFrame, default_pct: float)
     return assertions.join(mean, "id")
 
 
-def claim_score() -> Column:
-    """Confidence, trust and how recent the transaction is, weighted; up to 1,000,000 counts as recent."""
-    return CONFIDENCE * F.col("confidence") + TRUST * F.col("trust_pct") / 100 + RECENCY * F.least(F.greatest(F.col("tx_from"), F.lit(0)) / 1e6, F.lit(1.0))
+UNIT, RECENT = 100_000_000, 1_000_000  # parts of a score; transactions that count as fully recent
+
 
+def score_units() -> Column:
+    """The claim score in whole parts of ``UNIT``: equal on every engine, so ties are ties."""
+    parts = lambda x: F.round(x).cast("long")
+    recent = F.least(F.greatest(F.col("tx_from"), F.lit(0)), F.lit(RECENT)) * int(RECENCY * UNIT / RECENT)
+    return parts(F.col("confidence") * (CONFIDENCE * UNIT)) + parts(F.col("trust_pct") * (TRUST * UNIT / 100)) + recent
 
-def _rank(score: Column) -> Column:
-    """Orders claims: score, then later transaction, then smaller id."""
-    return F.struct(F.round(score, 9).alias("s"), F.col("tx_from").alias("t"))
+
+def claim_score() -> Column:
+    """Confidence, trust and how recent the transaction is, weighted; up to 1,000,000 counts as recent."""
+    return score_units() / UNIT
 
 
 def preferred_claim(claims: DataFrame, valid_at: int, known_at: int, keys=("subject", "predicate")) -> DataFrame:
     """The preferred claim of each key among those valid and known (a claim is known from its transaction on)."""
     at = claims.filter(tm.valid_at(valid_at) & (F.col("tx_from") <= known_at))
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round(claim_score(), 9)), F.desc("tx_from"), "id")
+    w = Window.partitionBy(*keys).orderBy(F.desc(score_units()), F.desc("tx_from"), "id")
     return at.withColumn("competing", F.count("*").over(Window.partitionBy(*keys)) - 1).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
@@ -48,7 +53,7 @@ def belief_revisions(claims: DataFrame, keys=("subject", "predicate")) -> DataFr
     # ids break ties downwards: an earlier row with the same score and transaction stays, as rows come in order of id
     w = Window.partitionBy(*keys).orderBy("tx_from", "id")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = F.max(F.struct(F.round(claim_score(), 9).alias("s"), F.col("tx_from").alias("t"), (-F.col("nth")).alias("n"), F.col("id").alias("id"))).over(upto)["id"]
+    best = F.max(F.struct(score_units().alias("s"), F.col("tx_from").alias("t"), (-F.col("nth")).alias("n"), F.col("id").alias("id"))).over(upto)["id"]
     rows = claims.withColumn("nth", F.row_number().over(w)).withColumn("next", best)
     rows = rows.withColumn("previous", F.lag("next").over(w)).filter(~F.col("next").eqNullSafe(F.col("previous")))
     return rows.select(*keys, F.col("tx_from").alias("known_at"), "previous", "next")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import temporal as tm
 from tempora.operators.select import path_depth
-from tempora.tables import saved
+from tempora.tables import new_path, saved
 
 
 def edges(assertions: DataFrame) -> DataFrame:
@@ -64,34 +64,44 @@ def paths(edge: DataFrame, starts: DataFrame, depth: int, end: str | None = None
     return out.select("start", F.col("at").alias("end"), "hops", "entities", F.size("hops").alias("length"))
 
 
-def reachable(pairs: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(root, node, depth): what each root (id) reaches over (a, b), at its least depth.
+def _levels(first: DataFrame, e: DataFrame, keys: list[str], depth: int | None) -> DataFrame:
+    """``first`` (keys, depth; one depth) and what its nodes reach over saved edges (a, b), level by level until one finds nothing new.
+
+    A level is a part of its own that is written once; all parts are read as one
+    scan, so nothing that was found is written again and a plan stays short
+    however deep the graph is.
+    """
+    path, spark = new_path(e.sparkSession, "levels"), e.sparkSession
+    schema = first.schema
+    part = lambda d: f"{path}/level-{d:06d}"
+    first.write.parquet(part(0))
+    frontier, parts = spark.read.schema(schema).parquet(part(0)), [part(0)]
+    done = 0
+    while (depth is None or done < depth) and not frontier.isEmpty():
+        done += 1
+        step = frontier.join(e, frontier["node"] == e["a"]).select(*[F.col("b").alias("node") if k == "node" else F.col(k) for k in keys], F.col("depth") + 1).toDF(*keys, "depth").distinct()
+        seen = spark.read.schema(schema).parquet(*parts)
+        step.join(seen.select(*keys), keys, "left_anti").select(*schema.names).write.parquet(part(done))
+        frontier = spark.read.schema(schema).parquet(part(done))
+        parts.append(part(done))
+    return spark.read.schema(schema).parquet(*parts)
+
+
+def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): what each root (id) reaches over (a, b), at its least depth, however deep.
 
     The root isn't seeded: it is among its own results only if a cycle leads
     back. The loop ends when a level finds nothing new.
     """
-    e = pairs.select("a", "b").distinct()
-    frontier = saved(roots.select(F.col("id").alias("root")).distinct().join(e, F.col("root") == e["a"]).select("root", F.col("b").alias("node")).distinct(), "frontier")
-    seen = frontier.withColumn("depth", F.lit(1))
-    for d in range(2, most + 1):
-        step = frontier.join(e, frontier["node"] == e["a"]).select("root", F.col("b").alias("node")).distinct()
-        frontier = saved(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = saved(seen.union(frontier.withColumn("depth", F.lit(d))), "reached")
-    raise RecursionError(f"still growing after {most} levels")
+    e = saved(pairs.select("a", "b").distinct(), "edges")
+    first = roots.select(F.col("id").alias("root")).distinct().join(e, F.col("root") == e["a"]).select("root", F.col("b").alias("node")).distinct()
+    return _levels(first.withColumn("depth", F.lit(1)), e, ["root", "node"], None)
 
 
 def bfs(pairs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, depth): least number of hops from any of several roots, which have depth 0."""
-    e = pairs.select("a", "b").distinct()
-    frontier = roots.select(F.col("id").alias("node")).distinct()
-    seen = saved(frontier.withColumn("depth", F.lit(0)), "bfs")
-    for d in range(1, depth + 1):
-        frontier = seen.filter(F.col("depth") == d - 1)
-        step = frontier.join(e, frontier["node"] == e["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = saved(seen.union(step.withColumn("depth", F.lit(d))), "bfs")
-    return seen
+    e = saved(pairs.select("a", "b").distinct(), "edges")
+    return _levels(roots.select(F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)), e, ["node"], depth)
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -164,19 +174,20 @@ def causal_paths(links: DataFrame, events: DataFrame, depth: int, reverse: bool
     """
     a, b = ("effect", "cause") if reverse else ("cause", "effect")
     e = links.filter(F.col("pct") >= min_link * 100).select(F.col(a).alias("x"), F.col(b).alias("y"), "pct")
-    now = events.select(F.col("id").alias("origin"), F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<double>").alias("c"))
+    now = events.select(F.col("id").alias("origin"), F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("c"))
     levels = []
     for d in range(depth):
         grown = now.join(e, now["at"] == e["x"]).filter(~F.array_contains("nodes", F.col("y")))
-        now = grown.select("origin", F.col("y").alias("at"), (F.concat(F.array("y"), F.col("nodes")) if reverse else F.concat(F.col("nodes"), F.array("y"))).alias("nodes"), F.concat("c", F.array(F.col("pct") / 100)).alias("c"))
+        now = grown.select("origin", F.col("y").alias("at"), (F.concat(F.array("y"), F.col("nodes")) if reverse else F.concat(F.col("nodes"), F.array("y"))).alias("nodes"), F.concat("c", F.array(F.col("pct").cast("bigint"))).alias("c"))
         if d < depth - 1:
             now = saved(now, "causal")
         levels.append(now)
     out = levels[0] if levels else now.limit(0)
     for level in levels[1:]:
         out = out.union(level)
-    product = F.aggregate("c", F.lit(1.0), lambda acc, x: acc * x)
-    confidence = {"product": F.round(product, 2), "raw": product, "min": F.array_min("c")}[rule]
+    # whole percents, divided once at the end: exact for up to nine links
+    product = F.aggregate("c", F.lit(1).cast("decimal(38,0)"), lambda acc, x: (acc * x).cast("decimal(38,0)")).cast("double") / F.pow(F.lit(100.0), F.size("c"))
+    confidence = {"product": F.round(product, 2), "raw": product, "min": F.array_min("c") / 100}[rule]
     ends = (F.col("at"), F.col("origin")) if reverse else (F.col("origin"), F.col("at"))
     return out.select(ends[0].alias("start"), ends[1].alias("end"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path"), F.size("c").alias("length"), confidence.alias("confidence"))
 

@@ -237,15 +237,15 @@ def claim_conflicts(g: Graph) -> DataFrame:
 
 
 SCORED = f"""claims AS (
-  SELECT s.*, coalesce(t.trust_pct, 50) AS trust, round(0.25 * (s.pct / 100.0) + 0.7 * coalesce(t.trust_pct, 50) / 100.0 + 0.05 * least(greatest(tx_from, 0) / 1e6, 1.0), 9) AS score
+  SELECT s.*, coalesce(t.trust_pct, 50) AS trust, 250000 * CAST(s.pct AS BIGINT) + 700000 * CAST(coalesce(t.trust_pct, 50) AS BIGINT) + 5 * least(greatest(tx_from, 0), 1000000) AS score
   FROM state s LEFT JOIN sources t ON t.id = s.source)"""
 
 
-@query(f"SELECT subject, id, CAST(count(*) OVER (PARTITION BY subject) - 1 AS BIGINT) AS competing, round(score, 6) AS score FROM claims WHERE valid_from <= {V} AND (valid_to IS NULL OR valid_to > {V}) AND tx_from <= 900 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY score DESC, tx_from DESC, id) = 1", STATE, SOURCES, SCORED)
+@query(f"SELECT subject, id, CAST(count(*) OVER (PARTITION BY subject) - 1 AS BIGINT) AS competing, score / 100000000.0::DOUBLE AS score FROM claims WHERE valid_from <= {V} AND (valid_to IS NULL OR valid_to > {V}) AND tx_from <= 900 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY score DESC, tx_from DESC, id) = 1", STATE, SOURCES, SCORED)
 def preferred_claim(g: Graph) -> DataFrame:
     claims = bx.average_trust(g.state(), g.sources(), 50)
     best = bx.preferred_claim(claims, V, 900)
-    return best.select("subject", "id", F.col("competing").cast("long").alias("competing"), F.round(bx.claim_score(), 6).alias("score"))
+    return best.select("subject", "id", F.col("competing").cast("long").alias("competing"), bx.claim_score().alias("score"))
 
 
 @query("""SELECT subject, known_at, previous, next FROM (
@@ -458,13 +458,13 @@ def bfs_depths(g: Graph) -> DataFrame:
     return gx.bfs(_dependencies(g), root, 2)
 
 
-CAUSAL_DOWN = "w AS (SELECT l.cause AS start, l.effect AS \"end\", l.cause || '>' || l.effect AS path, 1 AS length, CAST(l.pct AS DOUBLE) / 100 AS c FROM links l UNION ALL SELECT w.start, l.effect, w.path || '>' || l.effect, w.length + 1, w.c * (CAST(l.pct AS DOUBLE) / 100) FROM w JOIN links l ON l.cause = w.\"end\" WHERE w.length < 4)"
+CAUSAL_DOWN = "w AS (SELECT l.cause AS start, l.effect AS \"end\", l.cause || '>' || l.effect AS path, 1 AS length, CAST(l.pct AS BIGINT) AS c FROM links l UNION ALL SELECT w.start, l.effect, w.path || '>' || l.effect, w.length + 1, w.c * l.pct FROM w JOIN links l ON l.cause = w.\"end\" WHERE w.length < 4)"
 
 
-@query('SELECT start, "end", path, length, round(c, 6) AS confidence FROM w', LINKS, CAUSAL_DOWN, recursive=True)
+@query('SELECT start, "end", path, length, c / CAST(100 ** length AS DOUBLE) AS confidence FROM w', LINKS, CAUSAL_DOWN, recursive=True)
 def effects_of(g: Graph) -> DataFrame:
     start = g.raw("events").select(F.col("event_id").cast("long").alias("id"))
-    return gx.causal_paths(g.causal_links(), start, 4, rule="raw").withColumn("confidence", F.round("confidence", 6))
+    return gx.causal_paths(g.causal_links(), start, 4, rule="raw")
 
 
 @query('SELECT start, "end", path, length, least(c1, c2, c3) AS confidence FROM (SELECT a.cause AS start, c.effect AS "end", a.cause || \'>\' || b.cause || \'>\' || c.cause || \'>\' || c.effect AS path, 3 AS length, CAST(a.pct AS DOUBLE) / 100 AS c1, CAST(b.pct AS DOUBLE) / 100 AS c2, CAST(c.pct AS DOUBLE) / 100 AS c3 FROM links a JOIN links b ON b.cause = a.effect JOIN links c ON c.cause = b.effect)', LINKS)
