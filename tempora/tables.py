@@ -40,11 +40,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table this application saved; results that still read them become unreadable."""
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as returned by :func:`saved` that nothing will read again, so that the steps of a job don't add up in the shared folder."""
+    for t in tables:
+        _delete(t.sparkSession, t.saved_at)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}")
+    path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(conf).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table this application saved; results that still read them become unreadable."""
+    _delete(spark, f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}")
