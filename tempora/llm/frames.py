@@ -5,12 +5,12 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.tables import clear, new_path, saved, shared_dir
+from tempora.tables import clear, discard, new_path, saved, shared_dir
 
-__all__ = ["arrow", "clear", "free_name", "new_path", "row_key", "saved", "shared_dir", "table"]
+__all__ = ["arrow", "clear", "discard", "free_name", "join_hot", "new_path", "numbered", "row_key", "saved", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,46 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def row_key(*cols: str):
-    """A 64-bit key of a row's id and text; equal rows share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+    """A 128-bit key of a row's id and text; equal rows share it, different ones don't for any number of rows that fits a cluster."""
+    own = [F.col(f"`{c}`") for c in cols]
+    null = [F.col(f"`{c}`").isNull() for c in cols]
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *null, *own)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
+HOT = 4096  # a key is hot if more than one in so many rows has it
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inner", times: str = "times") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``times`` how many of the ``n`` rows have it.
+
+    At most ``HOT`` keys are hot. Their rows of ``table`` are broadcast and meet
+    ``rows`` without a shuffle; the others meet by key, none with more than one
+    in ``HOT`` of all rows. ``how`` is inner or left.
+    """
+    hot = F.col(times) * HOT > n
+    few = table.filter(hot)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.filter(~hot), key, how)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
+def numbered(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with __nth, each row's index from 0 in ``order``, and __before_<c> for each of ``sums``: the sum of c over all earlier rows, 0 for the first.
+
+    Two levels of prefix sums, over ranges of the order and inside a range, so no
+    task has all rows. ``order`` should tell rows apart.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    rows = saved(rows, "numbered")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    all_before = upto(Window.orderBy("__p"))  # a row for each range
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = totals.select("__p", zero(F.sum("__n").over(all_before)).alias("__n"), *[zero(F.sum(f"__sum_{c}").over(all_before)).alias(f"__sum_{c}") for c in sums])
+    inside = Window.partitionBy("__p").orderBy("__i")
+    out = rows.join(F.broadcast(totals), "__p").withColumn("__nth", F.col("__n") + F.row_number().over(inside) - 1)
+    out = out.withColumns({f"__before_{c}": F.col(f"__sum_{c}") + zero(F.sum(c).over(upto(inside))) for c in sums}) if sums else out
+    return out.drop("__p", "__i", "__n", *[f"__sum_{c}" for c in sums])
 
 
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20

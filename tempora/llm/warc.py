@@ -20,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm import blocks as B
 from tempora.llm import files
-from tempora.llm.frames import arrow, new_path, saved
+from tempora.llm.frames import arrow, join_hot, new_path, saved
 
 #: Fixed values of the format: the magic number of the leading dictionary frame, the profile of equal payloads.
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_FROM = 1000  # bytes of a payload from which equal ones are revisits
-SALTS = 16  # parts among which the rows of one payload are dealt
 ARCHIVE_BYTES = 64 << 20  # of payload, after which a file is closed
 SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 64 << 10
 BATCH_BYTES = 8 << 20
@@ -112,37 +112,43 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     of ``REVISIT_FROM`` bytes and more that several rows have is the response of
     the largest id among them (of all rows with that id, if it repeats; of all,
     if no row has an id), the rest revisit it; a null id revisits too. Smaller
-    payloads are always responses. Extra columns are ignored. An empty table
-    writes nothing.
+    payloads are always responses. A very long payload is one record, held in
+    memory once. Payloads are never shuffled, only digests. Extra columns are
+    ignored. An empty table writes nothing.
     """
     c = lambda n: F.col(f"`{n}`")
     payload = F.coalesce(c(payload_col).cast("string"), F.lit(""))
     rows = pages.select(c(id_col).cast("long").alias("page_id"), c(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    largest = rows.filter(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("times")).filter("times > 1 and response is not null")
-    largest = largest.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(largest, ["digest", "salt"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    blocks = B.write(rows, ["page_id", "digest", "n"], "pages")
+    large = blocks.placed.filter(F.col("n") >= REVISIT_FROM).select("block", "i", "page_id", "digest")
+    largest = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("times")).filter("times > 1 and response is not null")
+    largest = saved(largest, "repeated")
+    told = join_hot(large, largest, "digest", large.count())
+    told = told.filter(~F.col("page_id").eqNullSafe(F.col("response"))).select("block", "i", F.col("response").alias("refers_to"))
     files.make_dir(folder)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(visits) -> Iterator[pa.RecordBatch]:
         archive, part = None, TaskContext.get().partitionId()
 
         def placed(rows):
             return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "archive", "offset", "length"])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to = (batch.column(j)[i].as_py() for j in range(5))
-                archive = archive or Archive(files.own_name(folder, "pages", part, ".warc.zst"))
-                archive.add(page_id, record(page_id, url, payload.encode(), digest, refers_to))
-                if archive.payload >= ARCHIVE_BYTES:
-                    yield placed(archive.close())
-                    archive = None
+        for _, uri, revisits in visits:
+            response = dict(zip(revisits.column("i").to_pylist(), revisits.column("refers_to").to_pylist(), strict=True))
+            row = 0
+            for batch in B.read(uri):
+                for k in range(batch.num_rows):
+                    page_id, url, payload, digest = (batch.column(j)[k].as_py() for j in range(4))
+                    archive = archive or Archive(files.own_name(folder, "pages", part, ".warc.zst"))
+                    archive.add(page_id, record(page_id, url, payload.encode(), digest, response.get(row)))
+                    row += 1
+                    if archive.payload >= ARCHIVE_BYTES:
+                        yield placed(archive.close())
+                        archive = None
         if archive:
             yield placed(archive.close())
 
-    return saved(rows.transform(arrow, run, "page_id long, archive string, offset long, length long"), "warc-index")
+    return saved(B.visit(blocks, told, run, "page_id long, archive string, offset long, length long"), "warc-index")
 
 
 def open_dictionary(f) -> tuple[zstandard.ZstdCompressionDict, int]:
@@ -195,7 +201,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the files in ``archives`` (archive): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     A response's digest and length are computed from its stored payload and must
-    match its headers; a revisit has those of its headers and a null payload.
+    match its headers; a revisit has those of its headers and a null payload. Very
+    long payloads come whole. Without archives the frame is empty.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -230,7 +237,8 @@ def op2_warc(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     index = write_archives(pages, new_path(spark, "warc"))
     archives = index.select("archive").distinct()
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    n = archives.count()
+    return read_archives(archives.repartition(max(1, n))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
