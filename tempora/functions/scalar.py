@@ -123,3 +123,32 @@ def source_trust_baseline(kind: Column) -> Column:
     for k, v in values.items():
         out = F.when(kind == k, F.lit(v)).otherwise(out)
     return out
+
+
+def parse_duration(text: Column) -> tuple[Column, Column]:
+    """(amount, unit) of digits followed by a unit; nulls for anything else."""
+    ok = text.rlike(r"(?s)^[0-9]+[^0-9].*$")
+    digits = F.regexp_extract(text, r"^([0-9]+)", 1)
+    return F.when(ok, F.try_to_number(digits, F.lit("9" * 18)).cast("long")), F.when(ok, F.substring(text, F.length(digits) + 1, F.length(text)))
+
+
+def byte_embedding(text: Column) -> Column:
+    """Four numbers: the bytes of the text by their place modulo four, as shares of 255, over its length; zeros for an empty text."""
+    digits = F.hex(F.encode(text, "utf-8"))
+    n = F.octet_length(text)
+    byte = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double"))
+    one = lambda k: F.aggregate(F.filter(byte, lambda x, i: i % 4 == k), F.lit(0.0), lambda a, x: a + x) / 255 / n
+    return F.when(n > 0, F.array(*[one(k) for k in range(4)])).otherwise(F.array(*[F.lit(0.0)] * 4))
+
+
+def one_hot(index: Column, size: int = 4) -> Column:
+    return F.array(*[F.when(F.pmod(index, F.lit(size)) == k, 1.0).otherwise(0.0) for k in range(size)])
+
+
+#: How many memory ids in one text count as a bulk request.
+BULK_MEMORY_IDS = 3
+
+
+def exfiltration(text: Column, has_secret: Column) -> Column:
+    """Whether a text asks for memories in bulk (three times memory_id=) or carries a secret."""
+    return (F.regexp_count(text, F.lit("memory_id=")) >= BULK_MEMORY_IDS) | has_secret

@@ -140,3 +140,44 @@ def action_risk(base: str, external: Column, irreversible: Column, contradicted:
     plus = lambda c, w: F.when(c, w).otherwise(0.0)
     risk = F.round(F.least(start + plus(external, 0.15) + plus(irreversible, 0.25) + plus(contradicted, 0.15) + plus(low_trust, 0.1), F.lit(1.0)), 2)
     return risk, F.when(risk >= 0.85, "Critical").when(risk >= 0.65, "High").when(risk >= 0.35, "Medium").otherwise("Low")
+
+
+def common_properties(properties: DataFrame) -> DataFrame:
+    """(cluster, name, type): properties (cluster, id, name, type) that every entity of a cluster has, with one type."""
+    size = properties.groupBy("cluster").agg(F.count_distinct("id").alias("all"))
+    of = properties.groupBy("cluster", "name", "type").agg(F.count_distinct("id").alias("n"))
+    return of.join(size, "cluster").filter("n = all").select("cluster", "name", "type")
+
+
+def family_wins(results: DataFrame) -> DataFrame:
+    """(baseline, wins): in how many families (family, baseline, score) a baseline is best, ties to the last name."""
+    return results.groupBy("family").agg(F.max_by("baseline", F.struct("score", "baseline")).alias("baseline")).groupBy("baseline").agg(F.count("*").alias("wins"))
+
+
+#: Weights of the parts of a quality score.
+QUALITY = {
+    "answer_accuracy": 0.18, "evidence_recall": 0.14, "evidence_precision": 0.1, "temporal_correctness": 0.12, "contradiction_f1": 0.1, "multi_hop_path_recall": 0.1, "citation_faithfulness": 0.1, "belief_revision_accuracy": 0.05,
+    "causal_trace_recall": 0.04, "simulation_usefulness": 0.03, "tool_use_context_recall": 0.02, "compression_fidelity": 0.02,
+}
+
+
+def quality_score() -> Column:
+    """The weighted sum of a row's twelve metrics, held in [0, 1]."""
+    return clamp(sum((F.col(c) * w for c, w in QUALITY.items()), F.lit(0.0)), 0.0, 1.0)
+
+
+def linear_score(features: Column, weights: dict[str, float], bias: float = 0.0) -> Column:
+    """A linear policy's score of a map of features, held in [0, 1]; a feature that is missing counts 0."""
+    return clamp(sum((F.coalesce(F.element_at(features, F.lit(k)), F.lit(0.0)) * w for k, w in weights.items()), F.lit(float(bias))), 0.0, 1.0)
+
+
+def policy_report(examples: DataFrame, score: Column) -> DataFrame:
+    """One row over examples (label, kind): mean reward (1 less the error), mean error, and how many were clicked or corrected."""
+    error = F.abs(F.col("label") - score)
+    return examples.agg(F.avg(1 - error).alias("mean_reward"), F.avg(error).alias("mean_error"), F.count_if(F.col("kind") == "click").alias("clicks"), F.count_if(F.col("kind") == "correction").alias("corrections"), F.count("*").alias("examples"))
+
+
+def accuracy_by_task(predictions: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(task, accuracy, baseline, gain) of predictions (task, label, predicted) against a baseline's accuracy (task, baseline)."""
+    own = predictions.groupBy("task").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    return own.join(baseline, "task", "left").withColumn("gain", F.col("accuracy") - F.col("baseline"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import temporal as tm
 from tempora.operators.select import path_depth
-from tempora.tables import new_path, saved
+from tempora.tables import discard, new_path, saved
 
 
 def edges(assertions: DataFrame) -> DataFrame:
@@ -131,7 +131,8 @@ def components(pairs: DataFrame) -> DataFrame:
     e = saved(pairs.select("a", "b").filter("a is not null and b is not null and a != b").distinct(), "links")
     was = state(e)
     while was[0]:
-        e = saved(_small_star(_large_star(e)), "stars")
+        old, e = e, saved(_small_star(_large_star(e)), "stars")
+        discard(old)
         now = state(e)
         if now == was:
             break

@@ -65,9 +65,33 @@ def missing_context() -> Column:
     return F.when(F.col("expected_unknown") & (F.size("want_sources") == 0), 1.0).otherwise(score)
 
 
+#: Words of an answer that show a conflict, and words that brush it aside.
+SHOWS_CONFLICT = ("contradiction", "conflict", "disputed", "both sources", "competing", "uncertain")
+BRUSHES_ASIDE = ("ignore the conflict", "ignore conflict")
+
+
+def unsafe_memory_use() -> Column:
+    """1 less the share of used memories (used_memories) that are known as unsafe (unsafe_memories: untrue, contradicted or superseded); 1 if none is used."""
+    unsafe = F.size(F.filter("used_memories", lambda m: F.array_contains("unsafe_memories", m)))
+    return F.when(F.size("used_memories") == 0, 1.0).otherwise(1 - unsafe / F.size("used_memories"))
+
+
+def contradiction_handling() -> Column:
+    """1 if no conflict is expected (expected_conflicts) or retrieved (contradicted_context), or if the answer shows one that was retrieved; 0.55 for one of both, else 0."""
+    says = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), _has)
+    shown, there = says(SHOWS_CONFLICT) & ~says(BRUSHES_ASIDE), F.col("contradicted_context") > 0
+    return F.when((F.col("expected_conflicts") == 0) & ~there, 1.0).when(shown & there, 1.0).when(shown | there, 0.55).otherwise(0.0)
+
+
 def judged(cases: DataFrame) -> DataFrame:
-    """``cases`` with five scores and their mean."""
-    scores = {"correctness": correctness(), "faithfulness": faithfulness(), "temporal": temporal(), "hallucination": hallucination(), "missing_context": missing_context()}
+    """``cases`` with seven scores and their mean.
+
+    Cases without used_memories, unsafe_memories, expected_conflicts or
+    contradicted_context count as having none.
+    """
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    cases = cases.withColumns({c: v for c, v in (("used_memories", none), ("unsafe_memories", none), ("expected_conflicts", zero), ("contradicted_context", zero)) if c not in cases.columns})
+    scores = {"correctness": correctness(), "faithfulness": faithfulness(), "temporal": temporal(), "hallucination": hallucination(), "missing_context": missing_context(), "unsafe_memory": unsafe_memory_use(), "contradictions": contradiction_handling()}
     out = cases.withColumns(scores)
     return out.withColumn("mean", sum(F.col(c) for c in scores) / len(scores))
 

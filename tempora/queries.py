@@ -385,13 +385,6 @@ def private_counts(g: Graph) -> DataFrame:
     return pk.k_anonymous_counts(g.state(), "obj_text", 5)
 
 
-@query()
-def context_packing(g: Graph) -> DataFrame:
-    """Turns of each conversation packed into 64 tokens, latest first, skipping those that don't fit."""
-    m = g.memories()
-    return pk.pack_texts(m, 64, ["conv_id"], [F.desc("valid_from"), F.col("id")])
-
-
 # graph
 
 HOPS = """
@@ -572,11 +565,16 @@ def source_trust(g: Graph) -> DataFrame:
     return bx.score_source(t, 1000).select("id", F.round("trust", 6).alias("trust"))
 
 
-@query(f"""SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM state) AS assertions, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM conflicts) AS contradictions, (SELECT count(*) FROM sources WHERE trust_pct < 50) AS low_trust, (SELECT count(*) FROM state WHERE status = 'Active' AND tx_from < {K}) AS stale""", STATE, CONFLICTS, ENTITIES, SOURCES)
+HEALTH = f"""counts AS (SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM state) AS assertions, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM conflicts) AS contradictions,
+  (SELECT count(*) FROM sources WHERE trust_pct < 50) AS low_trust, (SELECT count(*) FROM state WHERE status = 'Active' AND tx_from < {K}) AS stale,
+  (SELECT count(*) FROM placed WHERE object NOT IN (SELECT id FROM entities)) AS broken, (SELECT count(*) - count(DISTINCT (p_name, p_brand, p_type, p_size)) FROM part) AS duplicates)"""
+
+
+@query("SELECT *, greatest(0, least(1, 1 - 0.05 * (duplicates + stale + contradictions + broken + low_trust)))::DOUBLE AS health FROM counts", STATE, CONFLICTS, ENTITIES, SOURCES, PLACED, HEALTH)
 def graph_health(g: Graph) -> DataFrame:
-    s, none = g.state(), g.state().limit(0)
-    h = ax.graph_health(g.entities(), s, g.sources(), none, cx.contradictions(s), cx.broken_relationships(s, g.entities()), 50, K)
-    return h.select("entities", "assertions", "sources", "contradictions", "low_trust", "stale")
+    s = g.state()
+    parts = g.raw("part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size")
+    return ax.graph_health(g.entities(), s, g.sources(), cx.duplicate_entities(parts, ["p_name", "p_brand", "p_type", "p_size"]), cx.contradictions(s), cx.broken_relationships(g.placed(), g.entities()), 50, K)
 
 
 @query("SELECT 'LOCATED_IN' AS predicate, count(*) AS support, CAST(NULL AS VARCHAR) AS subject_type, 'Place' AS object_type, false AS temporal FROM located UNION ALL SELECT 'PLACED', count(*), 'Person', 'Event', false FROM placed UNION ALL SELECT 'SUPPLIED_BY', count(*), 'Custom(Part)', 'Organization', bool_or(valid_to IS NOT NULL) FROM supplied", LOCATED, PLACED, SUPPLIED)
@@ -622,13 +620,6 @@ def eval_metrics(g: Graph) -> DataFrame:
     return t.select("conv_id", F.round(recall, 6).alias("recall"))
 
 
-@query()
-def centroid_predict(g: Graph) -> DataFrame:
-    """The label whose mean embedding is nearest, for every vector."""
-    v = g.vectors().filter("label is not null")
-    return ax.nearest_centroid(v, "id", "embedding", ax.centroids(v, "label", "embedding"), "label")
-
-
 @query("SELECT user_id AS arm, count(*) AS pulls, round(sum(value), 4) AS reward FROM events GROUP BY 1")
 def bandit_arms(g: Graph) -> DataFrame:
     return ax.bandit_update(g.raw("events").withColumnRenamed("user_id", "arm"), "arm", "value").withColumn("reward", F.round("reward", 4))
@@ -775,24 +766,25 @@ def private_counts_noisy(g: Graph) -> DataFrame:
     return sh.private_counts(g.state(), "obj_text", 5, 1.0, 42)
 
 
-@query()
-def activation_top10(g: Graph) -> DataFrame:
-    """What a thought of nation 3 activates among places, people and assertions."""
-    a = g.located()
-    seeds = g.spark.createDataFrame([("nation-3", 1.0)], "id string, weight double")
-    return ac.rank(ac.adjacency(a), seeds).select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(10)
+CASES = f"""cases AS (SELECT 'c' || user_id AS id, 'user-' || user_id AS subject, CASE WHEN user_id % 2 = 0 THEN {V} END AS valid_at FROM (SELECT DISTINCT user_id FROM events WHERE user_id IN (7, 8, 9, 10))),
+words AS (SELECT id, unnest(['user', 'user', subject[6:], 'click', 'purchase']) AS w FROM cases),
+hits AS (SELECT c.id, s.id AS evidence, s.valid_from, s.valid_to, count(*) AS score FROM cases c JOIN words w ON w.id = c.id JOIN state s ON len(w.w) >= 3 AND w.w IN ('user', s.subject[6:], 'state', s.obj_text) GROUP BY ALL),
+taken AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, evidence) <= 3),
+gold AS (SELECT c.id, list(s.id) AS gold FROM cases c JOIN state s ON s.subject = c.subject AND s.obj_text IN ('click', 'purchase') GROUP BY c.id),
+sets AS (SELECT c.id, c.valid_at, coalesce(g.gold, []) AS gold, list(t.evidence) FILTER (t.evidence IS NOT NULL) AS got, avg((t.valid_from > c.valid_at OR (t.valid_to IS NOT NULL AND t.valid_to <= c.valid_at))::INT) AS stale FROM cases c LEFT JOIN gold g ON g.id = c.id LEFT JOIN taken t ON t.id = c.id GROUP BY ALL)"""
 
 
-@query("SELECT strategy, CAST(2 AS BIGINT) AS cases FROM (VALUES ('adaptive'), ('keyword'), ('temporal_graph')) t(strategy)")
+@query("""SELECT 'keyword' AS strategy, count(*) AS cases, round(avg(CASE WHEN len(gold) = 0 THEN 1.0 ELSE len(list_intersect(got, gold)) / len(gold) END), 6) AS recall, round(avg(len(list_intersect(got, gold)) / len(got)), 6) AS precision,
+  round(avg(CASE WHEN valid_at IS NULL THEN 1.0 ELSE 1 - stale END), 6) AS temporal FROM sets""", STATE, CASES)
 def retrieval_report(g: Graph) -> DataFrame:
-    """Strategies over the events of two users as evidence; each answers both cases."""
-    s = g.state().filter("subject in ('user-7', 'user-8')")
-    evidence = s.select("id", "subject", "predicate", F.col("obj_text").alias("object"), "valid_from", "valid_to", F.col("tx_from").alias("known_from"), F.concat_ws(" ", "subject", "obj_text").alias("text"))
-    cases = g.spark.createDataFrame([("c1", "What did user-7 click?", V, None, ["temporal_qa"]), ("c2", "Did user-8 purchase or view?", None, None, ["contradiction"])], "id string, question string, valid_at long, known_at long, tags array<string>")
-    gold = evidence.filter("object in ('click', 'purchase')").groupBy("subject").agg(F.collect_set("id").alias("gold_evidence_ids")).withColumn("id", F.when(F.col("subject") == "user-7", "c1").otherwise("c2")).drop("subject")
-    none = F.array().cast("array<string>")
-    cases = cases.join(gold, "id", "left").withColumns({"gold_evidence_ids": F.coalesce("gold_evidence_ids", none), "required_path_ids": none, "gold_contradiction_ids": none})
+    """Keyword retrieval out of all events for four questions, and its metrics."""
+    evidence = g.state().select("id", "subject", "predicate", F.col("obj_text").alias("object"), "valid_from", "valid_to", F.col("tx_from").alias("known_from"), F.lit("").alias("text"))
+    who = g.raw("events").filter("user_id in (7, 8, 9, 10)").select("user_id").distinct()
+    subject, none = F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.array().cast("array<string>")
+    cases = who.select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("id"), F.concat(F.lit("user "), subject, F.lit(" click purchase")).alias("question"), F.when(F.col("user_id") % 2 == 0, F.lit(V)).alias("valid_at"), F.lit(None).cast("long").alias("known_at"), none.alias("tags"), subject.alias("subject"))
+    gold = evidence.filter("object in ('click', 'purchase')").groupBy("subject").agg(F.collect_list("id").alias("gold_evidence_ids"))
+    cases = cases.join(gold, "subject", "left").drop("subject").withColumns({"gold_evidence_ids": F.coalesce("gold_evidence_ids", none), "required_path_ids": none, "gold_contradiction_ids": none})
     paths = g.spark.createDataFrame([], "id string, evidence_ids array<string>")
     clashes = g.spark.createDataFrame([], "id string, assertion_a string, assertion_b string, contradiction_type string")
-    got = el.retrieve(cases, evidence, paths, ["keyword", "temporal_graph", "adaptive"])
-    return el.report(el.scored(cases, evidence, paths, clashes, got)).select("strategy", "cases")
+    got = el.retrieve(cases, evidence, paths, ["keyword"])
+    return el.report(el.scored(cases, evidence, paths, clashes, got)).select("strategy", "cases", "recall", "precision", "temporal")

@@ -116,6 +116,32 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema=schema)
 
 
+def ingest(docs: DataFrame, id: str, text: str, modality: str) -> dict[str, DataFrame]:
+    """One batch of documents as six frames: sources, evidence, directives, candidates, embeddings and review tasks.
+
+    ``modality`` names what the documents are; candidates come from lines of
+    ``csv``, from the ``json`` or ``html`` as a whole, else from candidate lines.
+    A source has one embedding and each of its evidence lines one; every
+    candidate and every source is a task, by id.
+    """
+    src = F.concat(F.lit("source-"), F.col(id).cast("string"))
+    sources = docs.select(src.alias("source_id"), F.lit(modality).alias("modality"), F.md5(text).alias("content_hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"))
+    chunks = line_chunks(docs, id, text).withColumn("id", F.concat(F.lit("source-"), F.col("id").cast("string")))
+    evidence = chunks.select(F.col("id").alias("source_id"), F.concat_ws(":", "id", "line").alias("evidence_id"), "byte_start", "byte_end", F.col("content").alias("text"))
+    if modality == "csv":
+        found = csv_rows(chunks).select("id", F.concat_ws("|", "subject", "predicate", "object").alias("claim"))
+    elif modality == "json":
+        found = json_entity(docs.select(src.alias("id"), F.col(text).alias("text")), "id", "text").select("id", F.concat_ws("|", "entity", "type").alias("claim"))
+    elif modality == "html":
+        found = html_titles(docs.select(src.alias("id"), F.col(text).alias("html")), "id").select("id", F.col("title").alias("claim"))
+    else:
+        found = candidates(chunks).filter("error is null").select("id", F.concat_ws("|", "subject_text", "predicate_text", "object_text").alias("claim"))
+    found = found.select(F.col("id").alias("source_id"), F.concat_ws(":", F.lit("candidate"), "id", F.md5("claim")).alias("candidate_id"), "claim")
+    embeddings = docs.select(src.alias("owner"), fx.byte_embedding(F.coalesce(F.col(text), F.lit(""))).alias("embedding")).union(evidence.select("evidence_id", fx.byte_embedding(F.col("text"))))
+    tasks = found.select(F.col("candidate_id").alias("task"), F.lit("candidate").alias("kind")).union(sources.select("source_id", F.lit("source"))).distinct()
+    return {"sources": sources, "evidence": evidence, "directives": directives(chunks), "candidates": found, "embeddings": embeddings, "tasks": tasks}
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
@@ -162,3 +188,16 @@ def synthetic_chain(spark: SparkSession, n: int, predicate: str = "owns") -> Dat
     """(id, subject, predicate, object): a chain of n + 1 entities."""
     i = F.col("id")
     return spark.range(n).select(F.concat(F.lit("a-"), i.cast("string")).alias("aid"), F.concat(F.lit("e-"), i.cast("string")).alias("subject"), F.lit(predicate).alias("predicate"), F.concat(F.lit("e-"), (i + 1).cast("string")).alias("object"))
+
+
+def synthetic_supply(spark: SparkSession, n: int) -> DataFrame:
+    """(aid, subject, predicate, object, valid_from, valid_to): parts with two suppliers each, whose times overlap by half."""
+    i = F.col("id")
+    part, second = F.floor(i / 2), i % 2
+    return spark.range(2 * n).select(F.concat(F.lit("a-"), i.cast("string")).alias("aid"), F.concat(F.lit("part-"), part.cast("string")).alias("subject"), F.lit("SUPPLIED_BY").alias("predicate"), F.concat(F.lit("supplier-"), ((part + second) % n).cast("string")).alias("object"), (part * 10 + second * 5).alias("valid_from"), (part * 10 + second * 5 + 10).alias("valid_to"))
+
+
+def synthetic_memories(spark: SparkSession, n: int, agents: int = 8) -> DataFrame:
+    """(id, agent_id, content, embedding): memories of several agents with one-hot embeddings of four dimensions."""
+    i = F.col("id")
+    return spark.range(n).select(F.concat(F.lit("mem-"), i.cast("string")).alias("id"), F.concat(F.lit("agent-"), (i % agents).cast("string")).alias("agent_id"), F.concat(F.lit("memory number "), i.cast("string")).alias("content"), fx.one_hot(i).alias("embedding"))
