@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_made: list[list[str]] = []  # paths handed out inside the scratch blocks that are open
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder and this application's id."""
-    return f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _made:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Whatever is saved inside is deleted at the end, but for the tables passed to the function that this gives."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield lambda *tables: [made.remove(t.saved_at) for t in tables]
+    finally:
+        _made.remove(made)
+        for path in made:
+            _delete(spark, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
