@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import files
-from tempora.llm.frames import arrow, new_path, saved
+from tempora.llm.frames import arrow, new_path, saved, trim
 
 BLOCK_BYTES, LEVEL = 48 << 20, 5
 _BITS = 24  # of a block's number that count the blocks of one task
@@ -73,7 +73,10 @@ def write(rows: DataFrame, narrow: list[str], name: str = "blocks") -> Blocks:
 def read(uri: str) -> Iterator[pa.RecordBatch]:
     """A block's rows, in the batches in which they were written."""
     with files.reader(uri) as f:
-        yield from pa.ipc.open_stream(f)
+        for batch in pa.ipc.open_stream(f):
+            yield batch
+            del batch
+            trim()
 
 
 def visit(blocks: Blocks, told: DataFrame | None, run: Callable, schema) -> DataFrame:

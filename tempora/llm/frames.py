@@ -44,9 +44,11 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "in
     in ``HOT`` of all rows. ``how`` is inner or left.
     """
     hot = F.col(times) * HOT > n
-    few = table.filter(hot)
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.filter(~hot), key, how)
-    return rows.join(F.broadcast(few), key).unionByName(rest)
+    keys = [r[0] for r in table.filter(hot).select(key).distinct().collect()]  # HOT at most
+    if not keys:
+        return rows.join(table, key, how)
+    few = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return rows.filter(few).join(F.broadcast(table.filter(hot)), key).unionByName(rows.filter(~few).join(table.filter(~hot), key, how))
 
 
 def numbered(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
