@@ -27,7 +27,7 @@ from tempora.llm import columns as C
 from tempora.llm.frames import arrow, free_name
 
 MARK = b" "
-LONG_WORD = 48  # bytes; longer words step one by one
+FEW = 4  # words that still step together; fewer go on one by one
 BATCH_BYTES = 8 << 20
 
 
@@ -110,25 +110,28 @@ class Automaton:
         """Pieces of each word."""
         lengths = ends - starts
         out = np.zeros(len(starts), np.int64)
-        short = np.flatnonzero(lengths <= LONG_WORD)
-        order = short[np.argsort(-lengths[short].astype(np.int16), kind="stable")]
+        order = np.argsort(-lengths, kind="stable")
         at, sizes = starts[order], lengths[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
         step, pops = self.step.ravel(), self.pops.ravel()
-        active = len(order)
-        for i in range(int(sizes[0]) if len(sizes) else 0):
-            while active and sizes[active - 1] <= i:  # few steps: sizes fall by whole runs
+        active, i = len(order), 0
+        while active and sizes[0] > i:
+            if sizes[active - 1] <= i:  # words that have ended
                 active = int(np.searchsorted(-sizes, -i, side="left"))
+            if active <= FEW:
+                break
             k = state[:active].astype(np.int64) * 256 + raw[at[:active] + i]
             total[:active] += pops[k]
             state[:active] = step[k]
+            i += 1
+        for w in range(active):  # the few longest, from where they stand
+            s, n = int(state[w]), 0
+            for c in raw[at[w] + i : at[w] + sizes[w]].tobytes():
+                k = s * 256 + c
+                n += pops.item(k)
+                s = step.item(k)
+            state[w], total[w] = s, total[w] + n
         out[order] = total + self.rest[state]
-        for w in np.flatnonzero(lengths > LONG_WORD).tolist():
-            s, n = 0, 0
-            for c in raw[starts[w] : ends[w]].tobytes():
-                n += int(self.pops[s, c])
-                s = self.step[s, c]
-            out[w] = n + self.rest[s]
         return out
 
 
@@ -138,13 +141,15 @@ def _automaton(vocabulary: tuple[bytes, ...], mark: bytes) -> Automaton:
 
 
 def greedy(word: bytes, vocabulary: set[bytes], mark: bytes = MARK) -> list[bytes]:
-    """The pieces themselves, by trying every length: what the automaton's counts are held against."""
+    """The pieces themselves, by trying every length up to the longest piece's: what the automaton's counts are held against."""
     out, text, i = [], mark + word, 0
+    longest = max(map(len, vocabulary), default=0)
+    upto = lambda i: min(len(text), i + longest) + 1
     if mark:
-        j = max((j for j in range(len(mark) + 1, len(text) + 1) if text[:j] in vocabulary), default=len(mark))
+        j = max((j for j in range(len(mark) + 1, upto(0)) if text[:j] in vocabulary), default=len(mark))
         out, i = [text[:j]], j
     while i < len(text):
-        j = max((j for j in range(i + 1, len(text) + 1) if text[i:j] in vocabulary and not (mark and text[i:j].startswith(mark))), default=i + 1)
+        j = max((j for j in range(i + 1, upto(i)) if text[i:j] in vocabulary and not (mark and text[i:j].startswith(mark))), default=i + 1)
         out.append(text[i:j])
         i = j
     return out
