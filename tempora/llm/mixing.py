@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.frames import free_name, saved
+from tempora.llm.frames import free_name, numbered, row_key, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3  # times a source's size that its target can reach
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: The default schedules, by a source's turn: weights at even steps of training time, each with the same integral.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
@@ -39,21 +39,21 @@ def targets(sizes: DataFrame, weight: Column | None = None, most: int = MOST) ->
     stops at ``most`` times its source's size and the excess is shared again
     among the rest, until none is above. A source is full when size * most /
     weight is at most the level at which the rest would share; ordering sources
-    by that ratio finds the level in one pass of running sums. One row a source.
+    by that ratio finds the level in one pass of running sums, in two levels, so
+    sources may be many. One row a source; sizes are not null, an empty frame
+    gives an empty one.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    t = sizes.withColumn("turn", turn)
+    t = numbered(sizes.withColumn("last", F.col("source").isNull()), ["last", "source"]).withColumnRenamed("__nth", "turn")
     t = t.withColumn("weight", (F.col("turn") % 3 + 1).cast("double") if weight is None else weight.cast("double"))
-    t = t.withColumn("cap", (F.lit(most) * F.col("source_size")).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    every = Window.partitionBy()
-    before = Window.orderBy("ratio", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("level", left / open_weight)
+    t = t.withColumn("cap", F.lit(most).cast("long") * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = numbered(t, ["ratio", "turn"], ("cap", "weight"))
+    every = t.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
+    t = t.crossJoin(F.broadcast(every)).withColumn("level", (F.col("all_words") - F.col("__before_cap")) / (F.col("all_weight") - F.col("__before_weight")))
+    t = saved(t.select("source", "source_size", "turn", "weight", "cap", "ratio", "level"), "levels")
     # the level of the first source that isn't full holds for it and all after it
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "turn", "level"))).over(every)["level"]
-    target = F.when(F.col("ratio") <= F.coalesce(level, F.lit(float("inf"))), F.col("cap")).otherwise(F.col("weight") * level)
-    return t.select("source", "source_size", "turn", "weight", target.alias("target"))
+    level = t.filter("ratio > level").agg(F.min_by("level", F.struct("ratio", "turn")).alias("at"))
+    target = F.when(F.col("ratio") <= F.coalesce("at", F.lit(float("inf"))), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("at"))
+    return t.crossJoin(F.broadcast(level)).select("source", "source_size", "turn", "weight", target.alias("target"))
 
 
 def _position(done: Column, target: Column, knots: Column) -> Column:
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table gives an empty frame.
     """
     c = lambda n: F.col(f"`{n}`")
-    rows = docs.select(c(id_col).alias("__id"), c(source_col).cast("string").alias("__source"), word_count(c(text_col)).alias("size"), F.xxhash64(c(id_col), c(text_col), F.lit(seed)).alias("__order"), F.xxhash64(c(id_col), c(text_col)).alias("__key"))
+    rows = docs.select(c(id_col).alias("__id"), c(source_col).cast("string").alias("__source"), word_count(c(text_col)).alias("size"), F.xxhash64(c(id_col), c(text_col), F.lit(seed)).alias("__order"), row_key(id_col, text_col).alias("__key"))
     rows = saved(rows, "sizes")
     by_source = rows.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     buckets = max(1, -(-(by_source.agg(F.max("n")).first()[0] or 1) // BUCKET_ROWS))
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = sums.join(plan, sums["__source"].eqNullSafe(plan["source"])).select(sums["__source"].alias("s"), F.col("__bucket").alias("b"), "base", "source_size", "target", "knots")
     plan = saved(plan, "mix-plan")
     joined = rows.join(plan, rows["__source"].eqNullSafe(plan["s"]) & (rows["__bucket"] == plan["b"])).drop("s", "b")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "size", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "size", "__key").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     out = joined.withColumn("__before", before)
     total, size = F.floor("target").cast("long"), F.col("size")
@@ -149,12 +149,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The copy that reaches a source's target is cut after the words taken, so that
     each source has its target's words; all other copies are whole.
+
+    Null, empty and blank texts have no words and are never taken; null sources
+    are one source and null ids are kept. A very long text is one document. Rows
+    equal in id and text count each, and one stands for all. Ties in position go
+    by a key of id and text. Extra columns may have any names; an empty table
+    gives an empty frame.
     """
     mixed = mix(docs, id_col, text_col, source_col, **how)
     key, size, copy = (free_name(docs, x) for x in ("__k", "__size", "__copy"))
     taken = mixed.select(F.col("__key").alias(key), F.col("size").alias(size), F.explode("copies").alias(copy))
     text = F.col(f"`{text_col}`")
-    rows = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), text))
+    rows = docs.withColumn(key, row_key(id_col, text_col))
     if not mixed.groupBy("__key").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates([key])  # equal rows: one stands for all, as all their copies carry its key
     by = [F.col(f"{copy}.position"), F.col(key), F.col(f"{copy}.words")]
