@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from tempora.llm.frames import arrow, new_path, saved
 
-QUERY_BLOCK, ROW_BLOCK, BINS = 1024, 1024, 2048
+QUERY_BLOCK, ROW_BLOCK, BINS = 2048, 512, 2048
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component as double; rows with a null or non-finite part are left out."""
+    """(vec_id, v): floor(scale * x) of every component as double.
+
+    Rows with a null id, a null vector or a null or non-finite component are left
+    out, as are empty vectors, which have no component to score.
+    """
     x = F.col(f"`{vector_col}`")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     good = F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True))
@@ -81,13 +85,12 @@ def _block(rows) -> tuple[np.ndarray, dict]:
     return ids, {d: (np.array(at), np.array([rows[i]["v"] for i in at], np.int64)) for d, at in dims.items()}
 
 
-def _bounds(rows: DataFrame, block) -> np.ndarray:
-    """|score| is at most each query's L1 norm times the largest component (one number over all rows)."""
-    top = rows.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))).alias("m")).first()["m"] or 0
+def _bounds(top: int, block) -> np.ndarray:
+    """|score| is at most each query's L1 norm times ``top``, the largest component of all rows."""
     out = np.zeros(len(block[0]), object)
     for at, q in block[1].values():
         for i, row in zip(at.tolist(), q.tolist(), strict=True):
-            out[i] = sum(map(abs, row)) * int(top)
+            out[i] = sum(map(abs, row)) * top
     if len(out) and max(out) >= 2**62:
         raise OverflowError("an inner product may not fit 64 bits")
     return out.astype(np.int64)
@@ -169,8 +172,11 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     has fewer candidates. A candidate with the query's vec_id is its own. Vectors
     of another dimension than the query's aren't its candidates. Repeated rows are
     candidates each; equal queries answer once, queries that share an id but not a
-    vector answer each. Empty tables give an empty frame. Products beyond 64 bits
-    raise OverflowError.
+    vector answer each; neither frame has null ids or vectors. Empty tables give an
+    empty frame. Products beyond 64 bits raise OverflowError.
+
+    Every block of queries meets all rows, in about five jobs: that is the price of
+    an exact answer for a query set that grows with the rows.
     """
     spark = rows.sparkSession
     queries = queries.select("vec_id", "v").distinct()
@@ -179,12 +185,16 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(path)
     blocks = -(-n // QUERY_BLOCK)
-    parted = saved(queries.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, blocks))).cast("int")), "queries")
+    parted, top = new_path(spark, "queries"), 0
+    if n:
+        queries.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).repartition("b").write.partitionBy("b").parquet(parted)  # a block is read alone
+        top = rows.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))).alias("m")).first()["m"] or 0  # one number
+    present = sorted(r["b"] for r in spark.read.parquet(parted).select("b").distinct().collect()) if n else []  # block numbers
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    for b in range(blocks):
-        block = _block(parted.filter(F.col("b") == b).orderBy("vec_id", "v").collect())
+    for b in present:
+        block = _block(spark.read.schema(queries.schema).parquet(f"{parted}/b={b}").orderBy("vec_id", "v").collect())
         shared = spark.sparkContext.broadcast(block)
-        bound = _bounds(rows, block)
+        bound = _bounds(int(top), block)
         kth = _kth(rows, shared, k, -bound, bound)
         found = rows.transform(arrow, _winners(shared, k, kth), "query_id long, q int, vec_id long, score long")
         found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
