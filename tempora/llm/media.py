@@ -3,7 +3,7 @@
 A row carries its payload's digest and where its stored form lies: shard, offset
 and length. Shards are plain tar files, members are named by their digest. Equal
 payloads are stored once. Digests that occur more than once are marked in a
-bitmap of fixed size; rows outside it are written by the task that read them,
+bitmap of bounded size; rows outside it are written by the task that read them,
 without a shuffle, and only marked rows (copies, and the few that share a bit)
 are grouped by digest. Metadata columns come from range reads of the headers.
 
@@ -30,7 +30,7 @@ from tempora.llm.frames import arrow, new_path, saved
 
 ROW, WIDTH, PAD = 192, 64, b" "
 SHARD_BYTES = 256 << 20
-BITS = 1 << 23  # of the bitmap of repeated digests: one MB, whatever the size of the data
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 27, 16  # of the bitmap of repeated digests: 16 for each of them, 16 MB at most
 HEADER_BYTES = 33  # PNG signature and IHDR
 #: Fixed values of the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -109,12 +109,16 @@ def _padded(text):
 
 
 def _repeated(digests: DataFrame) -> bytes:
-    """A bitmap of the digests (digest) that occur more than once."""
-    v = F.pmod(F.xxhash64("digest"), F.lit(BITS)) + 1
-    many = digests.groupBy("digest").count().filter("count > 1").select(v.alias("v"))
+    """A bitmap of the digests (digest) that occur more than once, of a power of two of bits that their number asks for.
+
+    Past ``MOST_BITS`` it fills up: more rows than needed are then grouped by digest, none is lost.
+    """
+    many = saved(digests.groupBy("digest").count().filter("count > 1").select("digest"), "repeated")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * many.count()).bit_length()))
+    many = many.select((F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1).alias("v"))
     maps = many.groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m"))
-    out = bytearray(BITS // 8)
-    for r in maps.collect():  # at most BITS / 32768 rows of 4 KB
+    out = bytearray(bits // 8)
+    for r in maps.collect():  # at most MOST_BITS / 32768 rows of 4 KB
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["m"]
     return bytes(out)
 
@@ -163,7 +167,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n"), F.sha2(_padded(text).cast("binary"), 256).alias("digest"), text.alias("text"))
     marked = _repeated(rows.select("digest"))
-    placed = saved(_written(rows.withColumn("bit", F.pmod(F.xxhash64("digest"), F.lit(BITS))), folder, marked), "media-rows")
+    placed = saved(_written(rows.withColumn("bit", F.pmod(F.xxhash64("digest"), F.lit(8 * len(marked)))), folder, marked), "media-rows")
     many = placed.filter("text is not null")
     one = many.groupBy("digest").agg(F.first("text").alias("text"), F.first("n").alias("n")).select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "n", "digest", "text")
     late = saved(_written(one, folder, None), "media-copies")
