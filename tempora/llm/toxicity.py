@@ -25,6 +25,7 @@ from tempora.llm.frames import arrow, free_name, saved
 SAMPLE = 4096  # labelled documents of each class that the model is fitted on, at most about
 LEARNED_WORDS = 256
 LEARNED_LEAST = 5  # documents that a learned word must occur in
+FOLDS = 4  # parts of the sample, each scored by models of the others for the calibration
 NEAR = 5  # words within which a second-person word counts as near
 BATCH_BYTES = 4 << 20
 
@@ -151,8 +152,13 @@ class Model:
         return np.clip(self.curve(self.trees.raw(features(column, self.learned))), 0, 1)
 
 
-def _learned_words(sample: DataFrame, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words that mark label 1 best in the sample (text, y): hashes in order, and log odds."""
+def folds(column: pa.Array) -> np.ndarray:
+    """The fold of each text by its least hash of three words in a row, so that copies, and most near copies, fall into one fold."""
+    return np.array([int(s[0] % np.uint64(FOLDS)) if len(s) else 0 for s in C.shingle_sets(column, 3)], np.int32)
+
+
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """(h, fold, pos, neg): in how many texts of each label and fold of the sample (text, y) a word occurs; h 0 counts the texts."""
 
     def run(batches):
         for batch in batches:
@@ -160,15 +166,23 @@ def _learned_words(sample: DataFrame, most: int, least: int) -> tuple[np.ndarray
             for a, b in C.pieces(batch.column(0), BATCH_BYTES):
                 raw, offsets = C.text_bytes(batch.column(0).slice(a, b - a))
                 h, first = letter_words(raw, offsets)
-                sets = [np.unique(h[s:e]) for s, e in zip(first[:-1], first[1:], strict=True)]
+                sets = [np.append(np.unique(h[s:e]), np.uint64(0)) for s, e in zip(first[:-1], first[1:], strict=True)]
+                size = [len(s) for s in sets]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(y[a:b], [len(s) for s in sets]).astype(np.int32))], names=["h", "y"])
+                yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(folds(batch.column(0).slice(a, b - a)), size)), pa.array(np.repeat(y[a:b], size).astype(np.int32))], names=["h", "fold", "y"])
+
+    words = sample.select("text", "y").transform(arrow, run, "h long, fold int, y int")
+    return saved(words.groupBy("h", "fold").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "word-counts")
 
-    size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
+
+def _learned_words(counts: DataFrame, without: int | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that mark label 1 best in the folds but one: hashes in order, and log odds."""
+    counts = counts if without is None else counts.filter(F.col("fold") != without)
+    size = counts.filter("h = 0").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    pos, neg = size["pos"] or 0, size["neg"] or 0
     if not pos or not neg:
         return np.zeros(0, np.uint64), np.zeros(0)
-    words = sample.select("text", "y").transform(arrow, run, "h long, y int").groupBy("h").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    words = counts.filter("h != 0").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     got = words.filter(F.col("pos") >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "h").limit(most).collect()
     got = sorted((int(np.int64(r["h"]).view(np.uint64)), r["odds"]) for r in got)
@@ -195,26 +209,32 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = saved(rows.join(F.broadcast(chosen), "id").select("h", "y", "text").dropDuplicates(["h", "text"]), "labelled")
-    learned = _learned_words(rows, LEARNED_WORDS, LEARNED_LEAST)
+    counts = _word_counts(rows)
+    # words, trees and scores of a fold's texts come from the other folds only; the last is the model of all
+    learned = [_learned_words(counts, k, LEARNED_WORDS, LEARNED_LEAST) for k in (*range(FOLDS), None)]
     shared = spark.sparkContext.broadcast(learned)
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(features(batch.column(2), shared.value)), pa.list_(pa.float64()))], names=["h", "y", "x"])
-
-    got = sorted((r["h"], r["y"], r["x"]) for r in rows.select("h", "y", "text").transform(arrow, run, "h long, y int, x array<double>").collect())
-    x = np.array([r[2] for r in got]).reshape(-1, len(NAMES))
+            fold = np.zeros(batch.num_rows, np.int32)
+            for a, b in C.pieces(batch.column(2), BATCH_BYTES):
+                fold[a:b] = folds(batch.column(2).slice(a, b - a))
+            x = np.stack([features(batch.column(2), words) for words in shared.value], axis=1).reshape(batch.num_rows, -1)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fold), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "y", "fold", "x"])
+
+    got = sorted((r["h"], r["y"], r["fold"], r["x"]) for r in rows.select("h", "y", "text").transform(arrow, run, "h long, y int, fold int, x array<double>").collect())
+    x = np.array([r[3] for r in got]).reshape(len(got), FOLDS + 1, len(NAMES))
     y = np.array([r[1] for r in got], float)
-    fold = np.array([r[0] % 4 for r in got])
+    fold = np.array([r[2] for r in got])
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
-        return Model(learned, boosting.Trees(), boosting.Isotonic(np.array([0.0, 1.0]), np.array([p, p])))
+        return Model(learned[-1], boosting.Trees(), boosting.Isotonic(np.array([0.0, 1.0]), np.array([p, p])))
     weight = np.where(y == 1, size[1] / drawn[1], size[0] / drawn[0])
     weight /= weight.mean()
     raw = np.zeros(len(y))
-    for k in range(4):  # scores of rows by models that haven't seen them
-        raw[fold == k] = boosting.fit(x[fold != k], y[fold != k], weight=weight[fold != k]).raw(x[fold == k])
-    return Model(learned, boosting.fit(x, y, weight=weight), boosting.isotonic(raw, y, weight))
+    for k in range(FOLDS):  # scores of rows by models that haven't seen them, words included
+        raw[fold == k] = boosting.fit(x[fold != k, k], y[fold != k], weight=weight[fold != k]).raw(x[fold == k, k])
+    return Model(learned[-1], boosting.fit(x[:, -1], y, weight=weight), boosting.isotonic(raw, y, weight))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
