@@ -28,6 +28,7 @@ FEATURES = 4096
 SAMPLE = 1536  # texts that the classifiers are fitted on, at most about, over all languages
 MAX_LANGUAGES = 256
 AMBIGUOUS = 0.05
+SHARPNESS = tuple(2.0 ** (i / 4) for i in range(-8, 25))  # among which scores are calibrated
 UNKNOWN = "und"
 BATCH_BYTES = 4 << 20
 
@@ -168,8 +169,27 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
     right = (np.sign(x @ w + b) == code[y]) & aside[:, None]
     trust = np.array([(right[y == i].sum(axis=0) + 1) / (aside[y == i].sum() + 2) for i in range(len(languages))])
     trust /= trust.sum(axis=1, keepdims=True)
+    sharpness = _sharpness(Model(languages, code, w, b, trust, 1.0), x[aside], y[aside])
     w, b = _logistic(x, code[y].astype(np.float32))
-    return Model(languages, code, w, b, trust, 8.0)
+    return Model(languages, code, w, b, trust, sharpness)
+
+
+def _sharpness(model: Model, x: np.ndarray, y: np.ndarray) -> float:
+    """How sharply distances make scores: the value under which rows set aside are likeliest.
+
+    As if one more row had each other answer: a sample without errors is no proof that there are none.
+    """
+    if not len(y):
+        return SHARPNESS[0]
+    d, k = model.distances(x), len(model.languages)
+    wrong = 1 / (len(y) + 2)
+    want = np.full(d.shape, wrong / (k - 1))
+    want[np.arange(len(y)), y] = 1 - wrong
+    loss = []
+    for s in SHARPNESS:
+        z = -s * d
+        loss.append(float(-(want * (z - np.logaddexp.reduce(z, axis=1, keepdims=True))).sum()))
+    return SHARPNESS[int(np.argmin(loss))]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
@@ -223,7 +243,13 @@ def op1_language_id(spark, sf_dir):
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is identified: neither ``und`` nor ambiguous; columns are those of ``docs``."""
+    """The documents whose language is identified: neither ``und`` nor ambiguous; columns are those of ``docs``.
+
+    Null and empty texts, and those without a letter, go; a null label only
+    doesn't train. A very long text counts as a whole. Rows that repeat go or stay
+    together. Names may clash with the operator's own. An empty table gives an
+    empty frame.
+    """
     model = learn(docs, text_col, lang_col)
     found = predict(docs, model, text_col)
     new = found.columns[len(docs.columns) :]
