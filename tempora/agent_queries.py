@@ -416,7 +416,7 @@ def common_properties(g: Graph) -> DataFrame:
 # context
 
 
-@query("SELECT unit_id, round(tx_from / (SELECT max(tx_from) FROM state)::DOUBLE, 6)::DOUBLE AS recency, round(coalesce(trust_pct, 50) / 100.0, 6)::DOUBLE AS source_trust, 0.25::DOUBLE AS centrality, CASE WHEN obj_text IN ('click', 'purchase') THEN 0.5 ELSE 0 END::DOUBLE AS relevance, CASE WHEN tx_from % 2 = 0 THEN 3 ELSE 0 END + 0.1 AS extra FROM (SELECT s.id AS unit_id, s.tx_from, s.obj_text, t.trust_pct FROM state s LEFT JOIN sources t ON t.id = s.source)", STATE, SOURCES)
+@query("SELECT unit_id, round(tx_from / (SELECT max(tx_from) FROM state)::DOUBLE, 6)::DOUBLE AS recency, round(coalesce(trust_pct, 50) / 100.0, 6)::DOUBLE AS source_trust, 0.25::DOUBLE AS centrality, CASE WHEN obj_text IN ('click', 'purchase') THEN 0.5 ELSE 0 END::DOUBLE AS relevance, CAST(CASE WHEN tx_from % 2 = 0 THEN 3.1 ELSE 0.1 END AS DOUBLE) AS extra FROM (SELECT s.id AS unit_id, s.tx_from, s.obj_text, t.trust_pct FROM state s LEFT JOIN sources t ON t.id = s.source)", STATE, SOURCES)
 def scored_units(g: Graph) -> DataFrame:
     """Each event as a unit of context for a task about clicks and purchases."""
     none = F.array().cast("array<string>")

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from tempora import queries
+from tempora import agent_queries, queries  # noqa: F401  the first registers its own with the second's
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
