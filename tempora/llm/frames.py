@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,12 +74,30 @@ def numbered(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> Dat
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
+LARGE = 4 << 20  # bytes from which an allocation is a mapping of its own, which goes back when freed
+_MMAP_THRESHOLD = -3  # fixed value: the C library's name of that setting
+
+
+@cache
+def _libc():
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(_MMAP_THRESHOLD, LARGE)
+    return libc
+
+
 def trim() -> None:
     """Give freed memory of this worker back to the system: the C allocator and Arrow's pool keep it otherwise."""
     pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def _finished(run, batches):
+    """What ``run`` yields; the worker is trimmed before and after, as it may idle for long."""
+    trim()
+    yield from run(_trimming(batches))
+    trim()
 
 
 def _trimming(batches):
@@ -101,4 +120,4 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
         now = conf.get(name, str(most)).rstrip("b")
         if not now.isdigit() or int(now) <= 0 or int(now) > most:
             conf.set(name, str(most))
-    return df.mapInArrow(lambda batches: run(_trimming(batches)), schema)
+    return df.mapInArrow(lambda batches: _finished(run, batches), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.llm import columns as C
-from tempora.llm.frames import arrow, free_name, saved
+from tempora.llm.frames import arrow, free_name, saved, trim
 
 FEATURES = 4096
 SAMPLE = 1536  # texts that the classifiers are fitted on, at most about, over all languages
@@ -142,6 +142,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
     once. Without any row the model knows no language. More than
     ``MAX_LANGUAGES`` languages raise ValueError.
     """
+    trim()
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
     chosen = sampled(rows, sample)
     if chosen is None:
@@ -171,6 +172,8 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
     trust /= trust.sum(axis=1, keepdims=True)
     sharpness = _sharpness(Model(languages, code, w, b, trust, 1.0), x[aside], y[aside])
     w, b = _logistic(x, code[y].astype(np.float32))
+    del x, got
+    trim()  # the driver goes on without the sample
     return Model(languages, code, w, b, trust, sharpness)
 
 
