@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -47,11 +48,52 @@ def scratch(spark: SparkSession):
             _delete(spark, path)
 
 
+RELEASE_SHARE = 1 / 30  # of the time, at most, that releasing memory may take
+_release = {"due": 0.0}
+
+
+def _trim(spark: SparkSession) -> None:
+    """The driver's C allocator gives freed memory back, where its JVM has a command for that.
+
+    By reflection, as the class of the server of beans isn't open to callers.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    call = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() in ("invoke", "getMBeanInfo")}
+
+    def on_beans(method: str, *args):
+        packed = gateway.new_array(jvm.java.lang.Object, len(args))
+        for i, a in enumerate(args):
+            packed[i] = a
+        return call[method].invoke(beans, packed)
+
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    trim = "systemTrimNativeHeap"  # fixed value: the command's name
+    if any(x.getName() == trim for x in on_beans("getMBeanInfo", commands).getOperations()):
+        on_beans("invoke", commands, trim, None, None)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage and give what is free back to the system.
+
+    A job of many saved tables leaves plans, broadcasts and shuffles behind that
+    Spark drops only when the driver collects garbage, and until then the driver
+    grows to its largest heap. Does nothing before ``RELEASE_SHARE`` allows it.
+    """
+    if (began := time.monotonic()) < _release["due"]:
+        return
+    spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+    ended = time.monotonic()
+    _release["due"] = ended + (ended - began) / RELEASE_SHARE
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
 
     The write's shuffle files go when it ends, as nothing reads them again, so
-    steps of a job don't add up on the executors' disks.
+    steps of a job don't add up on the executors' disks. Nor does the driver's
+    garbage: see :func:`release`.
     """
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
@@ -60,6 +102,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
