@@ -156,23 +156,25 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPL
                 values = m[at, col]
                 yield pa.record_batch([batch.column(0).slice(a, len(m)), batch.column(1).slice(a, len(m)), pa.array([col[s:e].astype(np.uint16).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([values[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["h", "lang", "at", "x"])
 
-    got = sorted(chosen.select("h", "lang", "text").transform(arrow, run, "h long, lang string, at binary, x binary").collect())
+    got = sorted(chosen.select("h", "lang", "text").transform(arrow, run, "h long, lang string, at binary, x binary").collect(), key=lambda r: (r["h"] % 5 == 0, r["h"], r["lang"]))
+    fitted = sum(r["h"] % 5 != 0 for r in got)  # rows from there on are set aside: parts of x are views, not copies
     x = np.zeros((len(got), FEATURES), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
     languages = sorted(set(r["lang"] for r in got))
     y = np.array([languages.index(r["lang"]) for r in got])
     code = codewords(len(languages))
-    aside = np.array([r["h"] % 5 == 0 for r in got])
     if len(languages) == 1:
         return Model(languages, code, np.zeros((FEATURES, 1), np.float32), np.full(1, 9, np.float32), np.ones((1, 1)), 1.0)
-    w, b = _logistic(x[~aside], code[y[~aside]].astype(np.float32)) if len(set(y[~aside])) == len(languages) else _logistic(x, code[y].astype(np.float32))
-    right = (np.sign(x @ w + b) == code[y]) & aside[:, None]
-    trust = np.array([(right[y == i].sum(axis=0) + 1) / (aside[y == i].sum() + 2) for i in range(len(languages))])
+    del got
+    part = slice(fitted) if len(set(y[:fitted])) == len(languages) else slice(None)
+    w, b = _logistic(x[part], code[y[part]].astype(np.float32))
+    right = np.sign(x[fitted:] @ w + b) == code[y[fitted:]]
+    trust = np.array([(right[y[fitted:] == i].sum(axis=0) + 1) / ((y[fitted:] == i).sum() + 2) for i in range(len(languages))])
     trust /= trust.sum(axis=1, keepdims=True)
-    sharpness = _sharpness(Model(languages, code, w, b, trust, 1.0), x[aside], y[aside])
+    sharpness = _sharpness(Model(languages, code, w, b, trust, 1.0), x[fitted:], y[fitted:])
     w, b = _logistic(x, code[y].astype(np.float32))
-    del x, got
+    del x
     trim()  # the driver goes on without the sample
     return Model(languages, code, w, b, trust, sharpness)
 
