@@ -30,7 +30,7 @@ MAX_LANGUAGES = 256
 AMBIGUOUS = 0.05
 SHARPNESS = tuple(2.0 ** (i / 4) for i in range(-8, 25))  # among which scores are calibrated
 UNKNOWN = "und"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20  # of text at a time; its n-grams and their places take some forty times that
 
 _TO_SPACE = np.arange(256, dtype=np.uint8)
 _TO_SPACE[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -211,13 +211,15 @@ def predict(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     types = (T.StringType(), T.DoubleType(), T.StringType(), T.BooleanType())
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(names.values(), types, strict=True)]])
     width = len(docs.columns)
+    plain = docs.columns.count(text_col) == 1 and isinstance(docs.schema[text_col].dataType, T.StringType)
+    at_text = docs.columns.index(text_col) if plain else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            text, known = batch.column(width), has_letter(batch.column(width))
+            text, known = batch.column(at_text), has_letter(batch.column(at_text))
             n, k = batch.num_rows, len(model.languages)
             best, second, score, lead = np.zeros(n, int), np.zeros(n, int), np.zeros(n), np.zeros(n)
             if k:
@@ -235,7 +237,8 @@ def predict(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             out = [words[np.where(known, best, k)], np.where(known, score, 0.0), words[np.where(known & (k > 1), second, k)], ~known | (lead < AMBIGUOUS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out[0], pa.string()), pa.array(out[1]), pa.array(out[2], pa.string()), pa.array(out[3])], names=schema.names)
 
-    return docs.withColumn(key, F.col(f"`{text_col}`").cast("string")).transform(arrow, run, schema)
+    rows = docs if plain else docs.withColumn(key, F.col(f"`{text_col}`").cast("string"))  # a text goes to the worker once
+    return rows.transform(arrow, run, schema)
 
 
 def op1_language_id(spark, sf_dir):
