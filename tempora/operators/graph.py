@@ -98,8 +98,8 @@ def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _levels(first.withColumn("depth", F.lit(1)), e, ["root", "node"], None)
 
 
-def bfs(pairs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): least number of hops from any of several roots, which have depth 0."""
+def bfs(pairs: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    """(node, depth): least number of hops from any of several roots, which have depth 0; with a depth of None, however far."""
     e = saved(pairs.select("a", "b").distinct(), "edges")
     return _levels(roots.select(F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)), e, ["node"], depth)
 
@@ -229,10 +229,12 @@ def community_summary(assertions: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def component_of(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node) of everything connected with the seeds (id), themselves included: only their components are walked."""
+    """(node) of everything connected with the seeds (id), themselves included: only their components are walked.
+
+    A node is met once, whichever seed it is met from: seeds may be as many as nodes.
+    """
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    found = reachable(both, seeds).select("node")
-    return found.union(seeds.select("id")).distinct()
+    return bfs(both, seeds, None).select("node").distinct()
 
 
 def recompute_affected(assertions: DataFrame, roots: DataFrame, changed: DataFrame) -> DataFrame:

@@ -293,6 +293,32 @@ def test_language_runs_all_statements(spark):
     assert {r.entity for r in engine.run('COUNTERFACTUAL REMOVE ASSERTION("1")').collect()} == {"p", "c"}
 
 
+def test_a_component_is_walked_once_from_however_many_seeds(spark, monkeypatch):
+    levels, walked = gx._levels, []
+
+    def counted(*args):
+        out = levels(*args)
+        walked.append(out.count())
+        return out
+
+    monkeypatch.setattr(gx, "_levels", counted)
+    hub = [(f"n{i:03d}", "hub") for i in range(200)]
+    other = [("p", "q"), ("q", "r"), ("r", "s"), ("y", "z")]
+    pairs = spark.createDataFrame(hub + other, "a string, b string")
+    nodes = {x for e in hub for x in e}
+    seeds = spark.createDataFrame([(x,) for x in nodes] + [("alone",)], "id string")
+    assert sorted(r.node for r in gx.component_of(pairs, seeds).collect()) == sorted(nodes | {"alone"})
+    assert walked == [len(nodes) + 1]
+    # the hub loses a node to nothing and one to a pair, and joins a chain
+    now = hub[2:] + other + [("hub", "s"), ("n001", "new")]
+    changed = spark.createDataFrame([(x,) for x in ("hub", "s", "n000", "n001", "new")], "id string")
+    after = frame(spark, [row(str(i), a, "P", entity=b) for i, (a, b) in enumerate(now)])
+    got = {r.node: r.root for r in gx.recompute_affected(after, gx.components(pairs), changed).collect()}
+    joined = (nodes - {"n000", "n001"}) | {"p", "q", "r", "s"}
+    assert got == {x: "hub" for x in joined} | {"n001": "n001", "new": "n001", "y": "y", "z": "y"}
+    assert walked[1:] == [len(nodes) + 5]  # with p, q, r, s and new
+
+
 def test_affected_components_and_shortest_paths(spark):
     a = frame(spark, [row("1", "a", "P", entity="b"), row("2", "c", "P", entity="d"), row("3", "x", "P", entity="y")])
     pairs = gx.edges(a).select(F.col("subject").alias("a"), F.col("object").alias("b"))
